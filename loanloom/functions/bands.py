@@ -39,10 +39,10 @@ class Banding:
     default: str | None = None
 
     def label(self, value: Column) -> Column:
-        labels = F.lit(self.default)
-        for band in reversed(self.bands):
-            labels = F.when(band.holds(value), F.lit(band.label)).otherwise(labels)
-        return labels
+        cases = F
+        for band in self.bands:
+            cases = cases.when(band.holds(value), F.lit(band.label))
+        return cases if self.default is None else cases.otherwise(F.lit(self.default))
 
     def relabel(self, labels: Sequence[str], default: str | None) -> Banding:
         renamed = (

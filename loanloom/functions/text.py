@@ -40,12 +40,10 @@ def canonical_category(value: Column, synonyms: Mapping[str, Iterable[str]]) ->
     Store this once at load time: an equality test on the canonical column reaches the
     Parquet scan, a test on a folded expression does not.
     """
-    result = value
+    cases = F
     for canonical, spellings in synonyms.items():
-        result = F.when(category_is(value, canonical, spellings), F.lit(canonical)).otherwise(
-            result
-        )
-    return result
+        cases = cases.when(category_is(value, canonical, spellings), F.lit(canonical))
+    return cases.otherwise(value)
 
 
 def money(value: Column) -> Column:

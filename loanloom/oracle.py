@@ -311,7 +311,7 @@ BODIES: dict[str, str] = {
     "loans_by_status": f"""
         SELECT l.loan_id, l.customer_id, l.loan_type, l.interest_rate, l.tenure_months,
                l.start_date, l.loan_status, {MONEY_COLUMNS}
-        FROM loans l WHERE l.loan_status = 'Closed'""",
+        FROM loans l WHERE l.loan_status = 'Active'""",
     "loan_line_report": _active(
         "'CustomerID: ' || c.customer_id || ' | Name: ' || c.first_name || ' ' || c.last_name "
         "|| ' | Loan Type: ' || l.loan_type || ' | Status: ' || l.loan_status AS report_line"

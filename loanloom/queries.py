@@ -133,7 +133,7 @@ def loans_over_floor(b: Bank) -> DataFrame:
 
 @query
 def loans_by_status(b: Bank) -> DataFrame:
-    return plans.loans_by_status(b.loans, "Closed")
+    return plans.loans_by_status(b.loans)
 
 
 @query

@@ -7,7 +7,8 @@ column pruning and filters still reach the Parquet scans.  Ids stay numeric.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,34 +58,37 @@ STAR = {
 }
 
 # How star-schema codes are read as lending categories.
-KYC_OF_SEGMENT = {
-    "AUTOMOBILE": "Verified",
-    "BUILDING": "Verified",
-    "FURNITURE": "Failed",
-    "HOUSEHOLD": "Pending",
-    "MACHINERY": "Verified",
+KYC_STATUS = {
+    "Verified": ("AUTOMOBILE", "BUILDING", "MACHINERY"),
+    "Failed": ("FURNITURE",),
+    "Pending": ("HOUSEHOLD",),
 }
-LOAN_TYPE_OF_PRIORITY = {
-    "1-URGENT": "Home",
-    "2-HIGH": "Home Loan",
-    "3-MEDIUM": "Auto",
-    "4-NOT SPECIFIED": "auto loan",
-    "5-LOW": "Personal",
+LOAN_TYPE = {
+    "Home": ("1-URGENT",),
+    "Home Loan": ("2-HIGH",),
+    "Auto": ("3-MEDIUM",),
+    "auto loan": ("4-NOT SPECIFIED",),
+    "Personal": ("5-LOW",),
 }
-LOAN_STATUS_OF_ORDER = {"O": "Active", "F": "Closed", "P": "Default"}
-CHANNEL_OF_EVENT = {
-    "click": "UPI",
-    "view": "NetBanking",
-    "signup": "ATM",
-    "purchase": "POS",
-    "error": "ATM",
+LOAN_STATUS = {"Active": ("O",), "Closed": ("F",), "Default": ("P",)}
+CHANNEL = {
+    "UPI": ("click",),
+    "NetBanking": ("view",),
+    "ATM": ("signup", "error"),
+    "POS": ("purchase",),
 }
 
 
-def _decode(code: Column, names: dict[str, str]) -> Column:
+def _decode(code: Column, codes: dict[str, tuple[str, ...]]) -> Column:
+    """Category name of a code.
+
+    Nested, null-safe cases rather than flat ones: a test for the first category then folds
+    to a test of the code itself, which reaches the Parquet scan.
+    """
     result = F.lit(None).cast("string")
-    for key, name in names.items():
-        result = F.when(code == key, F.lit(name)).otherwise(result)
+    for name, spelled in reversed(codes.items()):
+        matches = reduce(or_, [code.eqNullSafe(s) for s in spelled])
+        result = F.when(matches, F.lit(name)).otherwise(result)
     return result
 
 
@@ -117,21 +121,21 @@ class Bank:
             F.date_add(F.lit("1950-01-01").cast("date"), (key * 53 % 18000).cast("int")).alias(
                 "date_of_birth"
             ),
-            _decode(F.col("c_mktsegment"), KYC_OF_SEGMENT).alias("kyc_status"),
+            _decode(F.col("c_mktsegment"), KYC_STATUS).alias("kyc_status"),
             F.when(score != 444, score).alias("credit_score"),
         )
 
     @cached_property
     def loans(self) -> DataFrame:
         price = F.col("o_totalprice")
-        status = _decode(F.col("o_orderstatus"), LOAN_STATUS_OF_ORDER)
+        status = _decode(F.col("o_orderstatus"), LOAN_STATUS)
         left = F.when(F.col("o_orderstatus") == "F", F.lit(0).cast(MONEY)).when(
             price >= 6000, _scaled(price, 12)
         )
         return self.star("orders").select(
             F.col("o_orderkey").alias("loan_id"),
             F.col("o_custkey").alias("customer_id"),
-            _decode(F.col("o_orderpriority"), LOAN_TYPE_OF_PRIORITY).alias("loan_type"),
+            _decode(F.col("o_orderpriority"), LOAN_TYPE).alias("loan_type"),
             F.when(price <= 495000, _scaled(price, 20)).alias("principal_amount"),
             (3 + F.col("o_orderkey") % 50 / 10).alias("interest_rate"),
             (12 * (1 + F.col("o_orderkey") % 30)).cast("int").alias("tenure_months"),
@@ -152,7 +156,7 @@ class Bank:
             F.when(F.col("event_type").isin("signup", "error"), F.lit("Credit"))
             .otherwise(F.lit("Debit"))
             .alias("transaction_type"),
-            _decode(F.col("event_type"), CHANNEL_OF_EVENT).alias("channel"),
+            _decode(F.col("event_type"), CHANNEL).alias("channel"),
             F.col("ts").alias("timestamp"),
             F.when(shop == "0", F.lit(""))
             .when(shop != "1", F.concat(F.lit("Shop "), shop))

@@ -1,0 +1,151 @@
+from datetime import date, datetime
+from decimal import Decimal
+
+import pytest
+from conftest import tuples
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from loanloom import functions as fn
+from loanloom.schemas import LOAN_TYPE_SYNONYMS
+
+SCORES = [300, 649, 650, 651, 750, 751, 850, 851, None]
+EXPECTED_BANDS = {
+    "gap_unknown": "Risky Risky Unknown Average Average Good Good Excellent Unknown",
+    "overlap_unknown": "Risky Risky Unknown Average Average Good Good Excellent Unknown",
+    "gap_excellent": "Risky Risky Excellent Average Average Good Good Excellent Excellent",
+    "closed_excellent": "Risky Risky Risky Average Average Good Good Excellent Excellent",
+    "gap_null": "Risky Risky None Average Average Good Good Excellent None",
+    "cut_650_average": "Risky Risky Average Average Average Good Good Excellent Unknown",
+}
+
+
+def one(spark, column, value, kind="string"):
+    df = spark.createDataFrame([(value,)], f"v {kind}")
+    return df.select(column(F.col("v")).alias("out")).first()["out"]
+
+
+@pytest.mark.parametrize("variant", EXPECTED_BANDS)
+def test_credit_band_edges(spark, variant):
+    df = spark.createDataFrame(list(enumerate(SCORES)), "i int, score int")
+    got = df.orderBy("i").select(fn.credit_band(F.col("score"), variant)).collect()
+    assert " ".join(str(r[0]) for r in got) == EXPECTED_BANDS[variant]
+
+
+def test_principal_bucket_edges(spark):
+    amounts = ["999999.99", "1000000", "5000000", "5000000.01", None]
+    df = spark.createDataFrame(
+        [(i, None if a is None else Decimal(a)) for i, a in enumerate(amounts)],
+        "i int, amount decimal(18,2)",
+    )
+
+    def labels(*args):
+        rows = df.orderBy("i").select(fn.principal_bucket(F.col("amount"), *args)).collect()
+        return [r[0] for r in rows]
+
+    low, medium, high = "low bucket", "medium bucket", "high bucket"
+    assert labels() == [low, medium, medium, high, "Unknown"]
+    assert labels("high") == [low, medium, medium, high, high]
+    assert labels("null") == [low, medium, medium, high, None]
+    assert labels("high", ("l", "m", "h")) == ["l", "m", "m", "h", "h"]
+    assert labels("unknown", ("l", "m", "h")) == ["l", "m", "m", "h", "Unknown"]
+
+
+def test_flags_are_strict(spark):
+    df = spark.createDataFrame([(0,), (10,), (11,), (100,), (101,), (None,)], "n int")
+    got = tuples(
+        df.select(
+            "n",
+            fn.activity_flag(F.col("n"), yes=True, no=False),
+            fn.volume_category(F.col("n"), no=""),
+        )
+    )
+    by_n = {r[0]: r[1:] for r in got}
+    assert by_n[10] == (False, "") and by_n[11] == (True, "")
+    assert by_n[100] == (True, "") and by_n[101] == (True, "Progressive Channel")
+    assert by_n[None] == (False, "")
+
+
+def test_month_keys(spark):
+    times = [datetime(2026, m, 30, 23, 59) for m in (4, 5, 10, 12)] + [None]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    ts = F.col("ts")
+    got = df.select(
+        fn.month_start(ts), fn.month_key(ts), fn.month_key(ts, padded=False), fn.month_date(ts)
+    ).collect()
+    assert [tuple(r) for r in got[:3]] == [
+        (datetime(2026, 4, 1), "2026-04", "2026-4", date(2026, 4, 1)),
+        (datetime(2026, 5, 1), "2026-05", "2026-5", date(2026, 5, 1)),
+        (datetime(2026, 10, 1), "2026-10", "2026-10", date(2026, 10, 1)),
+    ]
+    assert tuple(got[4]) == (None, None, "", None)
+    moved = df.select(fn.days_before(F.lit(date(2026, 3, 1)), 1)).first()[0]
+    assert moved == date(2026, 2, 28)
+
+
+def test_names_and_lines(spark):
+    df = spark.createDataFrame([("Ann", "Lee", 7), ("Bo", None, 8)], "f string, l string, n int")
+    name = fn.full_name(F.col("f"), F.col("l"))
+    line = fn.labelled_line({"Id": F.col("n"), "Name": name})
+    assert tuples(df.select(name.alias("a"), line.alias("b"))) == [
+        ("Ann Lee", "Id: 7 | Name: Ann Lee"),
+        (None, None),
+    ]
+
+
+def test_category_spellings(spark):
+    values = ["Home", " home loan ", "HOME", "Auto", "auto loan", "Boat", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select(
+        fn.category_is(F.col("v"), "Home", LOAN_TYPE_SYNONYMS["Home"]),
+        fn.canonical_category(F.col("v"), LOAN_TYPE_SYNONYMS),
+    ).collect()
+    assert [r[0] for r in got] == [True, True, True, False, False, False, None]
+    assert [r[1] for r in got] == ["Home", "Home", "Home", "Auto", "Auto", "Boat", None]
+
+
+def test_money_is_exact(spark):
+    assert one(spark, fn.money, 6664757.889999995, "double") == Decimal("6664757.89")
+
+
+def test_masks(spark):
+    assert one(spark, fn.mask_name, "Harris, Delacruz and Bolton") == "H*** D*** a*** B***"
+    assert one(spark, fn.mask_name, "Fitzgerald-Parsons") == "F***"
+    assert one(spark, fn.mask_name, "X") == "X***"
+    assert one(spark, fn.mask_email, "john.q.doe@mail.example.com") == "j***@mail.example.com"
+    assert one(spark, fn.mask_phone, "1234567890") == "******7890"
+    assert one(spark, fn.mask_redact, "1980-01-01") == "[MASKED]"
+    for mask in (fn.mask_name, fn.mask_email, fn.mask_phone, fn.mask_redact):
+        assert one(spark, mask, None) is None
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.tuples(
+            st.text(alphabet="abcXYZ -'é", min_size=1, max_size=12),
+            st.from_regex(r"[0-9]{10}", fullmatch=True),
+        ),
+        min_size=1,
+        max_size=20,
+    )
+)
+def test_masks_never_leak(spark, people):
+    df = spark.createDataFrame(people, "name string, phone string")
+    masked = df.select(
+        "name", "phone", fn.mask_name(F.col("name")).alias("n"), fn.mask_phone(F.col("phone")).alias("p")
+    )
+    for row in masked.collect():
+        words = row["name"].split()
+        assert row["n"].split() == [f"{w[0]}***" for w in words]
+        assert row["p"] == "******" + row["phone"][-4:]
+
+
+def test_mask_table_leaves_the_rest(bank):
+    masked = fn.mask_table(bank.customers)
+    assert masked.columns == bank.customers.columns
+    row = masked.filter("customer_id = 'C649'").first()
+    assert (row["first_name"], row["last_name"]) == ("B***", "X***")
+    assert (row["email"], row["phone"]) == ("b***@mail.com", "******4595")
+    assert (row["date_of_birth"], row["credit_score"]) == ("[MASKED]", 649)
