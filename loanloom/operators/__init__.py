@@ -1,4 +1,5 @@
 from loanloom.operators.aggregates import (
+    beside_rows,
     count_by,
     count_distinct,
     count_if_over,
@@ -7,11 +8,12 @@ from loanloom.operators.aggregates import (
     repeated_groups,
     stats,
     sum_by,
+    sum_if,
     sum_if_over,
 )
 from loanloom.operators.joins import (
     drop_matching,
-    fan_out_left,
+    fan_out,
     first_rows,
     keep_matching,
     lookup_or_zero,
@@ -23,6 +25,7 @@ from loanloom.operators.ranking import dedup_by, first_per_key, latest_per_key
 
 __all__ = [
     "assert_rows",
+    "beside_rows",
     "check_row_count",
     "count_by",
     "count_distinct",
@@ -32,7 +35,7 @@ __all__ = [
     "distinct_values",
     "dq_profile",
     "drop_matching",
-    "fan_out_left",
+    "fan_out",
     "first_per_key",
     "first_rows",
     "keep_matching",
@@ -42,6 +45,7 @@ __all__ = [
     "spine_enrich",
     "stats",
     "sum_by",
+    "sum_if",
     "sum_if_over",
     "sum_over_pairs",
 ]

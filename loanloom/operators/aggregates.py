@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,33 +48,36 @@ def repeated_groups(df: DataFrame, keys: Sequence[str] | None = None) -> DataFra
     return count_by(df, keys or df.columns, "count").filter("count > 1")
 
 
-def _over(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
-    """Add a per-group aggregate to every row.
+def beside_rows(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
+    """Add per-group aggregates to every row, all from one grouping.
 
-    Same result as an aggregate over an unordered window, but the groups are aggregated
+    Same result as aggregates over an unordered window, but the groups are aggregated
     map-side and joined back, so no task ever holds a whole group.  The join is null-safe
     because a window treats null keys as one group.
     """
     renamed = {k: f"__{k}" for k in keys}
-    per_key = df.groupBy(*[F.col(k).alias(r) for k, r in renamed.items()]).agg(value.alias(name))
-    same = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]
-    )
+    groups = df.groupBy(*[F.col(k).alias(r) for k, r in renamed.items()])
+    per_key = groups.agg(*[value.alias(name) for name, value in measures.items()])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()])
     return df.join(per_key, same).drop(*renamed.values())
 
 
 def count_over(df: DataFrame, keys: Sequence[str], name: str, value: str = "*") -> DataFrame:
     """Add the group's row count, or its count of non-null values of a column."""
-    return _over(df, keys, F.count(value), name)
+    return beside_rows(df, keys, {name: F.count(value)})
 
 
 def count_if_over(df: DataFrame, keys: Sequence[str], predicate: Column, name: str) -> DataFrame:
     """Add the number of rows in the group for which the predicate holds."""
-    return _over(df, keys, F.count_if(predicate), name)
+    return beside_rows(df, keys, {name: F.count_if(predicate)})
 
 
 def sum_if_over(
     df: DataFrame, keys: Sequence[str], predicate: Column, value: Column, name: str
 ) -> DataFrame:
     """Add the group's sum of ``value`` over rows where the predicate holds, 0 elsewhere."""
-    return _over(df, keys, F.sum(F.when(predicate, value).otherwise(F.lit(0))), name)
+    return beside_rows(df, keys, {name: sum_if(predicate, value)})
+
+
+def sum_if(predicate: Column, value: Column) -> Column:
+    return F.sum(F.when(predicate, value).otherwise(F.lit(0)))

@@ -7,6 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# A key with more detail rows than this is cut into parts of about this many rows.
+HOT_ROWS = 1_000_000
+# At most this many keys are cut, hence broadcast.
+MAX_HOT_KEYS = 10_000
+
 
 def keep_matching(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``other``; never amplifies.
@@ -22,14 +27,49 @@ def drop_matching(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key).distinct(), key, "left_anti")
 
 
-def fan_out_left(df: DataFrame, detail: DataFrame, key: str) -> DataFrame:
-    """Left join with one row per match, safe when ``detail`` has a hot key.
+def fan_out(
+    df: DataFrame,
+    detail: DataFrame,
+    key: str,
+    spread_by: str,
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join with one row per match, where a key may hold a large share of ``detail``.
+
+    A key with more than ``hot_rows`` detail rows is cut into parts of about that size by
+    a hash of ``spread_by`` (a column of ``detail`` that tells its rows apart), and the
+    ``df`` rows of that key are repeated once per part.  All other keys have one part, so
+    nothing is repeated for them.  ``how`` is ``"inner"`` or ``"left"``.
 
-    Adaptive execution may split either side of an inner join but never the right side of
-    a left outer one, so matched and unmatched rows are produced separately.
+    Key sizes come from one partially aggregated pass over the key column.  Only the
+    ``MAX_HOT_KEYS`` largest keys are cut, which bounds what is broadcast; a key beyond
+    those holds less than one in ``MAX_HOT_KEYS`` of the rows and needs no cutting.
     """
-    matched = df.join(detail, key)
-    return matched.unionByName(drop_matching(df, detail, key), allowMissingColumns=True)
+    size = F.col("__rows")
+    hot = F.broadcast(
+        detail.groupBy(key)
+        .agg(F.count("*").alias("__rows"))
+        .filter(size > hot_rows)
+        .orderBy(size.desc(), key)
+        .limit(MAX_HOT_KEYS)
+        .select(key, F.ceil(size / hot_rows).cast("int").alias("__parts"))
+    )
+    parts = F.coalesce(F.col("__parts"), F.lit(1))
+    repeated = df.join(hot, key, "left").withColumn(
+        "__part", F.explode(F.sequence(F.lit(0), parts - 1))
+    )
+    cut = (
+        detail.join(hot, key, "left")
+        .withColumn("__part", F.pmod(F.xxhash64(spread_by), parts).cast("int"))
+        .withColumn("__found", F.lit(True))
+        .drop("__parts")
+    )
+    joined = repeated.join(cut, [key, "__part"], how)
+    if how == "left":
+        # A hot key has matches, so a null row there only means that one part was empty.
+        joined = joined.filter(F.col("__parts").isNull() | F.col("__found"))
+    return joined.drop("__part", "__parts", "__found")
 
 
 def lookup_or_zero(

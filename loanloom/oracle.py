@@ -555,6 +555,8 @@ BODIES: dict[str, str] = {
                count(CASE WHEN channel = 'UPI' THEN 1 END) OVER w AS upi_count,
                CAST(sum(CASE WHEN channel = 'UPI' THEN amount ELSE 0 END) OVER w AS DOUBLE)
                    AS upi_amount,
+               count(CASE WHEN channel = 'UPI' AND status = 'Success' THEN 1 END) OVER w
+                   AS success_count,
                count(*) OVER w AS row_count
         FROM transactions WINDOW w AS (PARTITION BY customer_id)""",
     "window_counts_filtered": """

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.operators.aggregates import count_by, sum_by
-from loanloom.operators.joins import keep_matching, lookup_or_zero, sum_over_pairs
+from loanloom.operators.joins import fan_out, keep_matching, lookup_or_zero, sum_over_pairs
 
 KEY = "customer_id"
 SCORE_LIMIT = 600
@@ -120,7 +120,8 @@ def high_balance_good_score(
         return keep_matching(rows, transactions, KEY)
     if per == "weighted":
         return rows.join(count_by(transactions, [KEY], "copies"), KEY)
-    return rows.join(transactions.select(KEY), KEY)
+    copies = fan_out(rows, transactions.select(KEY, "transaction_id"), KEY, "transaction_id")
+    return copies.drop("transaction_id")
 
 
 def target_customers(
@@ -145,4 +146,4 @@ def target_customers(
     large = transactions.filter(
         (F.col("channel") == channel) & (F.col("amount") > amount)
     ).withColumnRenamed("account_id", "transaction_account_id")
-    return verified.join(rich, KEY).join(large, KEY)
+    return fan_out(verified.join(rich, KEY), large, KEY, "transaction_id")

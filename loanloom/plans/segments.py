@@ -22,7 +22,7 @@ from loanloom.functions.bands import (
     credit_band,
     principal_bucket,
 )
-from loanloom.operators.joins import fan_out_left
+from loanloom.operators.joins import fan_out
 from loanloom.plans.loans import KEY, NAMES, matching_loans
 
 TRANSACTION_COLUMNS = ("merchant_name", "transaction_type", "channel")
@@ -137,4 +137,5 @@ def loan_customer_segments(
         return base
     if attach != "detail":
         raise ValueError(f"unknown attach: {attach}")
-    return fan_out_left(base, transactions.select(KEY, *TRANSACTION_COLUMNS), KEY)
+    detail = transactions.select(KEY, "transaction_id", *TRANSACTION_COLUMNS)
+    return fan_out(base, detail, KEY, "transaction_id", "left").drop("transaction_id")

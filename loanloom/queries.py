@@ -583,9 +583,16 @@ def window_counts(b: Bank) -> DataFrame:
     """Group counts beside every row: UPI rows, their amount, successful UPI rows, all rows."""
     upi = F.col("channel") == "UPI"
     rows = b.transactions.select("transaction_id", "customer_id", "channel", "status", "amount")
-    rows = op.count_if_over(rows, ["customer_id"], upi, "upi_count")
-    rows = op.sum_if_over(rows, ["customer_id"], upi, F.col("amount"), "upi_amount")
-    return op.count_over(rows, ["customer_id"], "row_count")
+    return op.beside_rows(
+        rows,
+        ["customer_id"],
+        {
+            "upi_count": F.count_if(upi),
+            "upi_amount": op.sum_if(upi, F.col("amount")),
+            "success_count": F.count_if(upi & (F.col("status") == "Success")),
+            "row_count": F.count("*"),
+        },
+    )
 
 
 @query

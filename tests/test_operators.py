@@ -20,11 +20,13 @@ def frame(spark, rows, value="v"):
 
 
 @FEW
-@given(ROWS, ROWS)
-def test_fan_out_left_is_a_left_join(spark, left, right):
-    a, b = frame(spark, left), frame(spark, right, "w").drop("id")
-    got = op.fan_out_left(a, b, "k")
-    assert tuples(got) == tuples(a.join(b, "k", "left"))
+@given(ROWS, ROWS, st.sampled_from(["inner", "left"]), st.sampled_from([1, 2, 100]))
+def test_fan_out_is_a_join_whatever_counts_as_hot(spark, left, right, how, hot_rows):
+    a = frame(spark, left)
+    b = frame(spark, right, "w").withColumnRenamed("id", "detail_id")
+    got = op.fan_out(a, b, "k", "detail_id", how, hot_rows)
+    assert got.columns == a.join(b, "k", how).columns
+    assert tuples(got) == tuples(a.join(b, "k", how))
 
 
 @FEW
