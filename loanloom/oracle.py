@@ -147,6 +147,7 @@ def _segments(
     unknown_flag: bool = False,
     people: str = "customers",
     people_join: str = "JOIN",
+    per_joined_row: bool = False,
 ) -> str:
     picked = f"SELECT * FROM loans l WHERE {where}"
     if attach in ("latest", "latest_upi", "any"):
@@ -166,8 +167,11 @@ def _segments(
         "ORDER BY transaction_id DESC) = 1",
     }
     yes, no = flags
-    flag = f"CASE WHEN a.n > 10 THEN {yes} ELSE {no} END"
-    count = "coalesce(a.n, 0)"
+    n = "a.n"
+    if per_joined_row:
+        n = "count(*) FILTER (WHERE t.channel = 'UPI') OVER (PARTITION BY l.customer_id)"
+    flag = f"CASE WHEN {n} > 10 THEN {yes} ELSE {no} END"
+    count = f"coalesce({n}, 0)"
     if unknown_flag:
         flag, count = f"CASE WHEN a.n IS NOT NULL THEN {flag} END", "a.n"
     extra = ""
@@ -276,7 +280,8 @@ BODIES: dict[str, str] = {
     "active_loans_measures": _active(MEASURES),
     "active_loans_measures_dedup": _active(MEASURES, loans=FIRST_HOME),
     "active_loans_contact": _active(
-        f"{BASIC}, c.email, c.phone, c.date_of_birth, {MONEY_COLUMNS}", loans=FIRST_HOME
+        f"{BASIC}, c.email, c.phone, CAST(c.date_of_birth AS VARCHAR) AS date_of_birth, "
+        f"{MONEY_COLUMNS}", loans=FIRST_HOME
     ),
     "active_loans_contact_masked": _active(
         f"c.customer_id, {_mask('c.first_name', 'first_name')}, "
@@ -310,7 +315,7 @@ BODIES: dict[str, str] = {
         FROM loans WHERE loan_status = 'Active' AND remaining_balance > 3000000""",
     "loans_by_status": f"""
         SELECT l.loan_id, l.customer_id, l.loan_type, l.interest_rate, l.tenure_months,
-               l.start_date, l.loan_status, {MONEY_COLUMNS}
+               CAST(l.start_date AS VARCHAR) AS start_date, l.loan_status, {MONEY_COLUMNS}
         FROM loans l WHERE l.loan_status = 'Active'""",
     "loan_line_report": _active(
         "'CustomerID: ' || c.customer_id || ' | Name: ' || c.first_name || ' ' || c.last_name "
@@ -329,12 +334,17 @@ BODIES: dict[str, str] = {
                     WHEN lower(loan_type) LIKE 'personal%' THEN 'Personal' END AS loan_category,
                count(*) AS loan_count
         FROM loans GROUP BY ALL""",
+    "auto_loan_balances": """
+        SELECT a.account_id, l.customer_id,
+               CAST(l.remaining_balance AS DOUBLE) AS remaining_balance, l.loan_type
+        FROM loans l JOIN customers c ON c.customer_id = l.customer_id
+        JOIN accounts a ON a.account_id = l.customer_id WHERE l.loan_type = 'Auto'""",
     "loans_spine_left": """
         SELECT l.loan_id, l.customer_id, c.first_name, c.last_name
         FROM loans l LEFT JOIN customers c
         ON c.customer_id = l.customer_id AND c.kyc_status = 'Verified'""",
     "loan_dates": """
-        SELECT loan_id, start_date - 30 AS notice_date,
+        SELECT loan_id, strftime(start_date - 30, '%Y-%m-%d') AS notice_date,
                strftime(start_date, '%Y-%m') AS start_month,
                CAST(tenure_months % 12 + 1 AS INTEGER) AS tenure_slot
         FROM loans""",
@@ -507,6 +517,14 @@ BODIES: dict[str, str] = {
     "segments_detail_success": _segments(
         "detail", rule="channel_success", flags=("'UPI Inclined'", "'Non UPI Inclined'")
     ),
+    "segments_detail_joined_count": _segments(
+        "detail",
+        credit="gap_excellent",
+        principal="high",
+        labels=("low", "medium", "high"),
+        flags=("'Yes'", "'No'"),
+        per_joined_row=True,
+    ),
     "segments_latest": _segments("latest"),
     "segments_latest_unknown": _segments(
         "latest",

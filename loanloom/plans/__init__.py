@@ -19,6 +19,7 @@ from loanloom.plans.loans import (
     active_loan_customers,
     active_loan_measures,
     active_loans_nested,
+    auto_loan_balances,
     flatten,
     loan_line_report,
     loans_by_status,
@@ -37,6 +38,7 @@ __all__ = [
     "active_loans_nested",
     "approved_record_count",
     "approved_records",
+    "auto_loan_balances",
     "balance_over",
     "customer_activity",
     "distinct_channel_users",

@@ -118,6 +118,19 @@ def active_auto_loans(customers: DataFrame, loans: DataFrame, synonyms: bool = T
     )
 
 
+def auto_loan_balances(
+    customers: DataFrame, loans: DataFrame, accounts: DataFrame, loan_type: str = "Auto"
+) -> DataFrame:
+    """Loans of a type, of any status, that name a known customer and an account on file."""
+    picked = matching_loans(
+        loans, ("account_id", "remaining_balance"), loan_type, loan_status=None
+    )
+    known = picked.join(customers.select(KEY), KEY)
+    return known.join(accounts.select("account_id"), "account_id").select(
+        "account_id", KEY, "remaining_balance", "loan_type"
+    )
+
+
 def active_loans_nested(customers: DataFrame, loans: DataFrame) -> DataFrame:
     """Active loans of any type (any spelling of "active") with a nested ``customer``."""
     picked = matching_loans(

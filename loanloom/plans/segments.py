@@ -22,11 +22,30 @@ from loanloom.functions.bands import (
     credit_band,
     principal_bucket,
 )
+from loanloom.operators.aggregates import beside_rows
 from loanloom.operators.joins import fan_out
 from loanloom.plans.loans import KEY, NAMES, matching_loans
 
 TRANSACTION_COLUMNS = ("merchant_name", "transaction_type", "channel")
 
+# The columns of the recorded report, in its order.
+REPORT_COLUMNS = (
+    "customer_id",
+    "first_name",
+    "last_name",
+    "merchant_name",
+    "loan_type",
+    "loan_status",
+    "credit_score",
+    "principal_amount",
+    "transaction_type",
+    "channel",
+    "credit_score_flag",
+    "principal_amount_bucket",
+    "upi_inclined_flag",
+    "upi_transaction_count",
+)
+
 # Which transactions count towards the activity flag.
 ACTIVITY_RULES: dict[str, Callable[[], Column]] = {
     "channel": lambda: F.col("channel") == "UPI",
@@ -78,6 +97,7 @@ def loan_customer_segments(
     principal_labels: Sequence[str] | None = None,
     flag_labels: tuple[str | bool, str | bool] = ("UPI Inclined", "Not UPI Inclined"),
     unknown_flag: bool = False,
+    count_per: str = "customer",
     keep_all_loans: bool = False,
     order: Sequence[Column | str] = ("loan_id",),
 ) -> DataFrame:
@@ -90,7 +110,8 @@ def loan_customer_segments(
 
     A customer without transactions counts 0 and gets the negative label, or a null flag
     and count with ``unknown_flag``.  ``keep_all_loans`` keeps loans whose customer is not
-    on file.  ``synonyms`` accepts other spellings of the type and status.
+    on file.  ``count_per="joined_row"`` counts a customer's active transactions once per
+    selected loan, as a count over the joined detail rows does.  ``synonyms`` accepts other spellings of the type and status.
     """
     one_per_customer = attach in REPRESENTATIVES
     picked = matching_loans(
@@ -102,6 +123,8 @@ def loan_customer_segments(
         dedup="customer" if one_per_customer else None,
         order=order,
     )
+    if count_per == "joined_row":
+        picked = beside_rows(picked, [KEY], {"__loans": F.count("*")})
     people = customers.select(KEY, *NAMES, "credit_score")
     base = picked.join(people, KEY, "left" if keep_all_loans else "inner")
 
@@ -109,6 +132,8 @@ def loan_customer_segments(
     base = base.join(activity, KEY, "left")
 
     count = F.col("upi_transaction_count")
+    if count_per == "joined_row":
+        count = count * F.col("__loans")
     flag = activity_flag(count, threshold, *flag_labels)
     if unknown_flag:
         flag = F.when(count.isNotNull(), flag)
@@ -125,17 +150,11 @@ def loan_customer_segments(
         }
     )
 
-    shown = [KEY, *NAMES, "loan_type", "loan_status", "credit_score", "principal_amount"]
-    shown += ["credit_score_flag", "principal_amount_bucket", "upi_inclined_flag"]
-    shown.append("upi_transaction_count")
     if one_per_customer:
-        shown += [F.col(f"representative.{c}").alias(c) for c in TRANSACTION_COLUMNS]
-        return base.select(*shown)
-
-    base = base.select(*shown)
-    if attach == "none":
-        return base
-    if attach != "detail":
+        base = base.select("*", "representative.*")
+    elif attach == "detail":
+        detail = transactions.select(KEY, "transaction_id", *TRANSACTION_COLUMNS)
+        base = fan_out(base, detail, KEY, "transaction_id", "left")
+    elif attach != "none":
         raise ValueError(f"unknown attach: {attach}")
-    detail = transactions.select(KEY, "transaction_id", *TRANSACTION_COLUMNS)
-    return fan_out(base, detail, KEY, "transaction_id", "left").drop("transaction_id")
+    return base.select(*[c for c in REPORT_COLUMNS if c in base.columns])

@@ -1,7 +1,7 @@
 """Every registered query: a name and a function of the lending tables.
 
-Amounts leave as doubles, converted once from exact decimals, so that results compare
-across engines.
+Amounts leave as doubles, converted once from exact decimals, and dates as ISO text, so
+that results compare across engines.
 """
 
 from __future__ import annotations
@@ -31,20 +31,19 @@ def query(f: Query) -> Query:
     return f
 
 
-def plain_amounts(df: DataFrame) -> DataFrame:
+def comparable(df: DataFrame) -> DataFrame:
+    casts = {T.DecimalType: "double", T.DateType: "string"}
+    wanted = {f.name: casts.get(type(f.dataType)) for f in df.schema}
+    if not any(wanted.values()):
+        return df
     return df.select(
-        *[
-            F.col(f.name).cast("double").alias(f.name)
-            if isinstance(f.dataType, T.DecimalType)
-            else F.col(f.name)
-            for f in df.schema
-        ]
+        *[F.col(c).cast(kind).alias(c) if kind else F.col(c) for c, kind in wanted.items()]
     )
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(f: Query) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: plain_amounts(f(open_bank(spark, folder)))
+        return lambda spark, folder: comparable(f(open_bank(spark, folder)))
 
     return {name: bind(f) for name, f in _REGISTRY.items()}
 
@@ -157,6 +156,12 @@ def loan_type_from_rows(b: Bank) -> DataFrame:
     return op.sum_by(joined, ["loan_category"], "n", "loan_count")
 
 
+@query
+def auto_loan_balances(b: Bank) -> DataFrame:
+    loans = b.loans.withColumn("account_id", F.col("customer_id"))
+    return plans.auto_loan_balances(b.customers, loans, b.accounts)
+
+
 @query
 def loans_spine_left(b: Bank) -> DataFrame:
     """Every loan, with the names of verified customers where there are any."""
@@ -471,6 +476,20 @@ def segments_detail_success(b: Bank) -> DataFrame:
     )
 
 
+@query
+def segments_detail_joined_count(b: Bank) -> DataFrame:
+    """Activity counted over the joined rows, so once per loan of the customer."""
+    return _segments(
+        b,
+        "detail",
+        credit="gap_excellent",
+        principal="high",
+        principal_labels=("low", "medium", "high"),
+        flag_labels=("Yes", "No"),
+        count_per="joined_row",
+    )
+
+
 @query
 def segments_latest(b: Bank) -> DataFrame:
     return _segments(b, "latest")

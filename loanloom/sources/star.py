@@ -7,14 +7,11 @@ column pruning and filters still reach the Parquet scans.  Ids stay numeric.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property, reduce
-from operator import or_
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from loanloom.schemas import MONEY
 from loanloom.session import configure
 from loanloom.sources.tables import load
 
@@ -79,21 +76,27 @@ CHANNEL = {
 }
 
 
-def _decode(code: Column, codes: dict[str, tuple[str, ...]]) -> Column:
-    """Category name of a code.
+def _decode(column: str, codes: dict[str, tuple[str, ...]]) -> str:
+    """SQL text for the category name of a code.
 
     Nested, null-safe cases rather than flat ones: a test for the first category then folds
     to a test of the code itself, which reaches the Parquet scan.
     """
-    result = F.lit(None).cast("string")
+    text = "CAST(NULL AS STRING)"
     for name, spelled in reversed(codes.items()):
-        matches = reduce(or_, [code.eqNullSafe(s) for s in spelled])
-        result = F.when(matches, F.lit(name)).otherwise(result)
-    return result
+        matches = " OR ".join(f"{column} <=> '{s}'" for s in spelled)
+        text = f"CASE WHEN {matches} THEN '{name}' ELSE {text} END"
+    return text
 
 
-def _scaled(value: Column, factor: int) -> Column:
-    return (value.cast(MONEY) * F.lit(factor)).cast(MONEY)
+def _money(column: str, factor: int = 1) -> str:
+    """SQL text for a two-decimal double as an exact amount, times a whole factor."""
+    exact = f"CAST({column} AS DECIMAL(18,2))"
+    return exact if factor == 1 else f"CAST({exact} * {factor} AS DECIMAL(18,2))"
+
+
+_SCORE = "CAST(300 + (c_custkey * 37) % 560 AS INT)"
+_SHOP = "regexp_extract(props, '[0-9]+', 0)"
 
 
 @dataclass(frozen=True)
@@ -108,105 +111,81 @@ class Bank:
 
     @cached_property
     def customers(self) -> DataFrame:
-        key = F.col("c_custkey")
-        first = F.split_part(F.col("c_name"), F.lit("#"), F.lit(1))
-        last = F.split_part(F.col("c_name"), F.lit("#"), F.lit(2))
-        score = (300 + (key * 37) % 560).cast("int")
-        return self.star("customer").select(
-            key.alias("customer_id"),
-            first.alias("first_name"),
-            last.alias("last_name"),
-            F.concat(F.lower(first), F.lit("."), last, F.lit("@example.com")).alias("email"),
-            F.concat(F.lit("9"), F.lpad(key.cast("string"), 9, "0")).alias("phone"),
-            F.date_add(F.lit("1950-01-01").cast("date"), (key * 53 % 18000).cast("int")).alias(
-                "date_of_birth"
-            ),
-            _decode(F.col("c_mktsegment"), KYC_STATUS).alias("kyc_status"),
-            F.when(score != 444, score).alias("credit_score"),
+        return self.star("customer").selectExpr(
+            "c_custkey AS customer_id",
+            "split_part(c_name, '#', 1) AS first_name",
+            "split_part(c_name, '#', 2) AS last_name",
+            "concat(lower(split_part(c_name, '#', 1)), '.', split_part(c_name, '#', 2), "
+            "'@example.com') AS email",
+            "concat('9', lpad(CAST(c_custkey AS STRING), 9, '0')) AS phone",
+            "date_add(DATE'1950-01-01', CAST(c_custkey * 53 % 18000 AS INT)) AS date_of_birth",
+            f"{_decode('c_mktsegment', KYC_STATUS)} AS kyc_status",
+            f"nullif({_SCORE}, 444) AS credit_score",
         )
 
     @cached_property
     def loans(self) -> DataFrame:
-        price = F.col("o_totalprice")
-        status = _decode(F.col("o_orderstatus"), LOAN_STATUS)
-        left = F.when(F.col("o_orderstatus") == "F", F.lit(0).cast(MONEY)).when(
-            price >= 6000, _scaled(price, 12)
-        )
-        return self.star("orders").select(
-            F.col("o_orderkey").alias("loan_id"),
-            F.col("o_custkey").alias("customer_id"),
-            _decode(F.col("o_orderpriority"), LOAN_TYPE).alias("loan_type"),
-            F.when(price <= 495000, _scaled(price, 20)).alias("principal_amount"),
-            (3 + F.col("o_orderkey") % 50 / 10).alias("interest_rate"),
-            (12 * (1 + F.col("o_orderkey") % 30)).cast("int").alias("tenure_months"),
-            F.col("o_orderdate").cast("date").alias("start_date"),
-            status.alias("loan_status"),
-            left.alias("remaining_balance"),
+        return self.star("orders").selectExpr(
+            "o_orderkey AS loan_id",
+            "o_custkey AS customer_id",
+            f"{_decode('o_orderpriority', LOAN_TYPE)} AS loan_type",
+            f"CASE WHEN o_totalprice <= 495000 THEN {_money('o_totalprice', 20)} END "
+            "AS principal_amount",
+            "3 + (o_orderkey % 50) / 10 AS interest_rate",
+            "CAST(12 * (1 + o_orderkey % 30) AS INT) AS tenure_months",
+            "CAST(o_orderdate AS DATE) AS start_date",
+            f"{_decode('o_orderstatus', LOAN_STATUS)} AS loan_status",
+            "CASE WHEN o_orderstatus = 'F' THEN CAST(0 AS DECIMAL(18,2)) "
+            f"WHEN o_totalprice >= 6000 THEN {_money('o_totalprice', 12)} END "
+            "AS remaining_balance",
         )
 
     @cached_property
     def transactions(self) -> DataFrame:
-        value = F.col("value")
-        shop = F.regexp_extract("props", r"[0-9]+", 0)
-        return self.star("events").select(
-            F.col("event_id").alias("transaction_id"),
-            F.col("user_id").alias("account_id"),
-            F.col("user_id").alias("customer_id"),
-            _scaled(value, 100).alias("amount"),
-            F.when(F.col("event_type").isin("signup", "error"), F.lit("Credit"))
-            .otherwise(F.lit("Debit"))
-            .alias("transaction_type"),
-            _decode(F.col("event_type"), CHANNEL).alias("channel"),
-            F.col("ts").alias("timestamp"),
-            F.when(shop == "0", F.lit(""))
-            .when(shop != "1", F.concat(F.lit("Shop "), shop))
-            .alias("merchant_name"),
-            F.when(value < 100, F.lit("Success"))
-            .when(value < 150, F.lit("Failed"))
-            .otherwise(F.lit("Flagged"))
-            .alias("status"),
+        return self.star("events").selectExpr(
+            "event_id AS transaction_id",
+            "user_id AS account_id",
+            "user_id AS customer_id",
+            f"{_money('value', 100)} AS amount",
+            "CASE WHEN event_type IN ('signup', 'error') THEN 'Credit' ELSE 'Debit' END "
+            "AS transaction_type",
+            f"{_decode('event_type', CHANNEL)} AS channel",
+            "ts AS timestamp",
+            f"CASE {_SHOP} WHEN '0' THEN '' WHEN '1' THEN NULL ELSE concat('Shop ', {_SHOP}) END "
+            "AS merchant_name",
+            "CASE WHEN value < 100 THEN 'Success' WHEN value < 150 THEN 'Failed' "
+            "ELSE 'Flagged' END AS status",
         )
 
     @cached_property
     def accounts(self) -> DataFrame:
-        def shaped(df: DataFrame, account: Column, owner: str, balance: str, kind: str):
-            amount = F.col(balance)
-            return df.select(
-                account.alias("account_id"),
-                F.col(owner).alias("customer_id"),
-                F.when(amount >= -900, _scaled(amount, 20)).alias("available_balance"),
-                _scaled(amount, 21).alias("current_balance"),
-                F.lit(kind).alias("account_type"),
-                (amount >= 0).alias("is_active"),
+        def shaped(table: str, account: str, owner: str, balance: str, kind: str) -> DataFrame:
+            return self.star(table).selectExpr(
+                f"{account} AS account_id",
+                f"{owner} AS customer_id",
+                f"CASE WHEN {balance} >= -900 THEN {_money(balance, 20)} END AS available_balance",
+                f"{_money(balance, 21)} AS current_balance",
+                f"'{kind}' AS account_type",
+                f"{balance} >= 0 AS is_active",
             )
 
-        savings = shaped(
-            self.star("customer"), F.col("c_custkey"), "c_custkey", "c_acctbal", "Savings"
-        )
-        current = shaped(
-            self.star("supplier"), -1 - F.col("s_suppkey"), "s_suppkey", "s_acctbal", "Current"
-        )
+        savings = shaped("customer", "c_custkey", "c_custkey", "c_acctbal", "Savings")
+        current = shaped("supplier", "-1 - s_suppkey", "s_suppkey", "s_acctbal", "Current")
         return savings.unionByName(current)
 
     @cached_property
     def ledger(self) -> DataFrame:
         """A longer transaction table over several years, for the monthly reports."""
-        line = F.col("l_linenumber")
-        return self.star("lineitem").select(
-            F.col("l_orderkey").alias("transaction_id"),
-            F.col("l_suppkey").alias("account_id"),
-            F.col("l_partkey").alias("customer_id"),
-            F.col("l_extendedprice").cast(MONEY).alias("amount"),
-            F.when(F.col("l_returnflag") == "R", F.lit("Credit"))
-            .otherwise(F.lit("Debit"))
-            .alias("transaction_type"),
-            F.when(line <= 2, F.lit("UPI"))
-            .when(line == 3, F.lit("NetBanking"))
-            .when(line == 4, F.lit("ATM"))
-            .otherwise(F.lit("POS"))
-            .alias("channel"),
-            F.col("l_shipdate").alias("timestamp"),
-            F.lit("Success").alias("status"),
+        return self.star("lineitem").selectExpr(
+            "l_orderkey AS transaction_id",
+            "l_suppkey AS account_id",
+            "l_partkey AS customer_id",
+            f"{_money('l_extendedprice')} AS amount",
+            "CASE WHEN l_returnflag = 'R' THEN 'Credit' ELSE 'Debit' END AS transaction_type",
+            "CASE WHEN l_linenumber <= 2 THEN 'UPI' WHEN l_linenumber = 3 THEN 'NetBanking' "
+            "WHEN l_linenumber = 4 THEN 'ATM' ELSE 'POS' END AS channel",
+            "l_shipdate AS timestamp",
+            "'Success' AS status",
         )
 
 
