@@ -642,7 +642,7 @@ BODIES: dict[str, str] = {
     "save_load_table": _segments("latest"),
     "save_load_parquet": f"""
         SELECT * FROM ({_monthly(f"{PADDED} AS month")}) m WHERE month LIKE '1996-%'""",
-    "save_load_csv": _segments("any"),
+    "save_load_csv": _segments("detail"),
 }
 BODIES |= {
     f"credit_band_{v}": f"""

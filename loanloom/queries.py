@@ -19,7 +19,7 @@ from loanloom.functions.bands import CREDIT_BANDS, PRINCIPAL_BUCKETS
 from loanloom.plans.segments import ACTIVITY_RULES
 from loanloom.schemas import LOAN_TYPE_SYNONYMS
 from loanloom.session import shared_path
-from loanloom.sources import from_rows, load, preview, publish_view, run_sql, save
+from loanloom.sources import CSV_NULL, from_rows, load, preview, publish_view, run_sql, save
 from loanloom.sources.star import Bank, open_bank
 
 Query = Callable[[Bank], DataFrame]
@@ -736,6 +736,6 @@ def save_load_parquet(b: Bank) -> DataFrame:
 @query
 def save_load_csv(b: Bank) -> DataFrame:
     path = shared_path(b.spark, "segments-csv")
-    rows = _segments(b, "any")
+    rows = _segments(b, "detail")
     save(rows, path, "csv", "errorifexists")
-    return load(b.spark, path, "csv", rows.schema)
+    return load(b.spark, path, "csv", rows.schema, nullValue=CSV_NULL)

@@ -1,5 +1,6 @@
 from loanloom.sources.scenarios import load_scenarios, scenario_tables
 from loanloom.sources.tables import (
+    CSV_NULL,
     constant_row,
     from_rows,
     load,
@@ -10,6 +11,7 @@ from loanloom.sources.tables import (
 )
 
 __all__ = [
+    "CSV_NULL",
     "constant_row",
     "from_rows",
     "load",

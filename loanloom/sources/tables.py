@@ -7,6 +7,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# Read option ``nullValue`` that keeps a quoted empty text apart from an empty cell, which
+# Spark otherwise reads as null, both.
+CSV_NULL = "\u0000"
+
 
 def load(
     spark: SparkSession,
