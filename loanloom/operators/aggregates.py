@@ -53,7 +53,8 @@ def beside_rows(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Colum
 
     Same result as aggregates over an unordered window, but the groups are aggregated
     map-side and joined back, so no task ever holds a whole group.  The join is null-safe
-    because a window treats null keys as one group.
+    because a window treats null keys as one group.  ``df`` is evaluated twice, so give all
+    measures of a grouping in one call.
     """
     renamed = {k: f"__{k}" for k in keys}
     groups = df.groupBy(*[F.col(k).alias(r) for k, r in renamed.items()])

@@ -577,10 +577,15 @@ BODIES: dict[str, str] = {
                    AS success_count,
                count(*) OVER w AS row_count
         FROM transactions WINDOW w AS (PARTITION BY customer_id)""",
-    "window_counts_filtered": """
+    "window_counts_known": """
         SELECT account_id, account_type,
-               count(available_balance) OVER (PARTITION BY account_type) AS known_balances,
-               count(*) OVER (PARTITION BY available_balance) AS same_balance
+               CAST(accounts.available_balance AS DOUBLE) AS available_balance,
+               count(accounts.available_balance) OVER (PARTITION BY account_type)
+                   AS known_balances
+        FROM accounts""",
+    "window_counts_null_key": """
+        SELECT account_id, CAST(accounts.available_balance AS DOUBLE) AS available_balance,
+               count(*) OVER (PARTITION BY accounts.available_balance) AS same_balance
         FROM accounts""",
     "latest_transaction": """
         SELECT customer_id, transaction_id, merchant_name, channel, timestamp FROM transactions

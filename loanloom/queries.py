@@ -615,13 +615,17 @@ def window_counts(b: Bank) -> DataFrame:
 
 
 @query
-def window_counts_filtered(b: Bank) -> DataFrame:
-    """Group size of a filtered input; balances that are null form a group too."""
-    known = b.accounts.select("account_id", "available_balance", "account_type")
-    rows = op.count_over(known, ["account_type"], "known_balances", "available_balance")
-    return op.count_over(rows, ["available_balance"], "same_balance").select(
-        "account_id", "account_type", "known_balances", "same_balance"
-    )
+def window_counts_known(b: Bank) -> DataFrame:
+    """Beside every account, how many accounts of its type have a known balance."""
+    rows = b.accounts.select("account_id", "account_type", "available_balance")
+    return op.count_over(rows, ["account_type"], "known_balances", "available_balance")
+
+
+@query
+def window_counts_null_key(b: Bank) -> DataFrame:
+    """Beside every account, how many share its balance; unknown balances are one group."""
+    rows = b.accounts.select("account_id", "available_balance")
+    return op.count_over(rows, ["available_balance"], "same_balance")
 
 
 @query

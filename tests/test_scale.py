@@ -128,6 +128,21 @@ def test_fan_out_cuts_the_hot_customer(spark, big):
     }
 
 
+def test_fan_out_splits_a_hot_key_on_the_other_side(spark, big):
+    many = big.transactions.select("customer_id", F.col("merchant_name").alias("note"))
+    few = big.loans.select("customer_id", "loan_id")
+    with conf(spark, **SMALL_SKEW):
+        got = op.fan_out(many, few, "customer_id", "loan_id", "left")
+        got = got.groupBy("loan_id").agg(F.count("*").alias("n"), F.max("note"))
+        rows = {r["loan_id"]: r["n"] for r in got.collect()}
+        assert "skew=true" in plan_text(got)
+    owners = Counter(r[0] for r in many.select("customer_id").collect())
+    loans = few.collect()
+    expected = {r["loan_id"]: owners[r["customer_id"]] for r in loans if owners[r["customer_id"]]}
+    expected[None] = N_TXNS - sum(owners[c] for c in {r["customer_id"] for r in loans})
+    assert rows == expected
+
+
 def test_fan_out_broadcasts_only_the_bounded_key_list(spark, big):
     with conf(spark, **NO_BROADCAST):
         df = plans.loan_customer_segments(
