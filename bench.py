@@ -83,7 +83,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
-                "sf": folder.rsplit("sf", 1)[-1],
+                "sf": float(folder.rsplit("sf", 1)[-1]) if "sf" in folder else folder,
             }
         )
     )

@@ -33,11 +33,11 @@ def fan_out(
     key: str,
     spread_by: str,
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join with one row per match, where a key may hold a large share of ``detail``.
 
-    A key with more than ``hot_rows`` detail rows is cut into parts of about that size by
+    A key with more than ``hot_rows`` (``HOT_ROWS``) detail rows is cut into parts of about that size by
     a hash of ``spread_by`` (a column of ``detail`` that tells its rows apart), and the
     ``df`` rows of that key are repeated once per part.  All other keys have one part, so
     nothing is repeated for them.  ``how`` is ``"inner"`` or ``"left"``.
@@ -46,6 +46,7 @@ def fan_out(
     ``MAX_HOT_KEYS`` largest keys are cut, which bounds what is broadcast; a key beyond
     those holds less than one in ``MAX_HOT_KEYS`` of the rows and needs no cutting.
     """
+    hot_rows = hot_rows or HOT_ROWS
     size = F.col("__rows")
     hot = F.broadcast(
         detail.groupBy(key)
