@@ -39,8 +39,9 @@ class Banding:
     default: str | None = None
 
     def label(self, value: Column) -> Column:
-        cases = F
-        for band in self.bands:
+        first, *others = self.bands
+        cases = F.when(first.holds(value), F.lit(first.label))
+        for band in others:
             cases = cases.when(band.holds(value), F.lit(band.label))
         return cases if self.default is None else cases.otherwise(F.lit(self.default))
 

@@ -40,10 +40,11 @@ def canonical_category(value: Column, synonyms: Mapping[str, Iterable[str]]) ->
     Store this once at load time: an equality test on the canonical column reaches the
     Parquet scan, a test on a folded expression does not.
     """
-    cases = F
-    for canonical, spellings in synonyms.items():
-        cases = cases.when(category_is(value, canonical, spellings), F.lit(canonical))
-    return cases.otherwise(value)
+    known = [
+        F.when(category_is(value, canonical, spellings), F.lit(canonical))
+        for canonical, spellings in synonyms.items()
+    ]
+    return F.coalesce(*known, value)
 
 
 def money(value: Column) -> Column:

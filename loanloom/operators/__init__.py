@@ -12,7 +12,6 @@ from loanloom.operators.aggregates import (
     sum_if_over,
 )
 from loanloom.operators.joins import (
-    drop_matching,
     fan_out,
     first_rows,
     keep_matching,
@@ -34,7 +33,6 @@ __all__ = [
     "dedup_by",
     "distinct_values",
     "dq_profile",
-    "drop_matching",
     "fan_out",
     "first_per_key",
     "first_rows",

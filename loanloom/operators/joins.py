@@ -22,11 +22,6 @@ def keep_matching(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key).distinct(), key, "left_semi")
 
 
-def drop_matching(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key is null or does not occur in ``other``."""
-    return df.join(other.select(key).distinct(), key, "left_anti")
-
-
 def fan_out(
     df: DataFrame,
     detail: DataFrame,

@@ -304,3 +304,23 @@ def test_loans_without_customer_stay_on_request(bank):
 def test_unknown_attach_is_refused(bank):
     with pytest.raises(ValueError, match="unknown attach"):
         segments(bank, "every")
+
+
+def test_amounts_may_be_doubles(bank):
+    """Decimal amounts are the rule, but plans take whatever numeric type a table has."""
+    loans = bank.loans.withColumns(
+        {c: F.col(c).cast("double") for c in ("principal_amount", "remaining_balance")}
+    )
+    accounts = bank.accounts.withColumn(
+        "available_balance", F.col("available_balance").cast("double")
+    )
+    total = plans.total_exposure(bank.customers, accounts, loans).first()[0]
+    exact = plans.total_exposure(bank.customers, bank.accounts, bank.loans).first()[0]
+    assert total == pytest.approx(float(exact))
+    got = plans.loan_customer_segments(bank.customers, loans, bank.transactions)
+    exact = segments(bank, "none")
+    assert tuples(got, "customer_id", "principal_amount_bucket") == tuples(
+        exact, "customer_id", "principal_amount_bucket"
+    )
+    profile = op.dq_profile(accounts, "available_balance").first()
+    assert profile["average"] == pytest.approx(61665.836667)
