@@ -74,7 +74,8 @@ CREDIT_BANDS = {
     ),
 }
 
-# Principal buckets in currency units.
+# Principal buckets in currency units.  The variants differ in the label of a
+# null and, for the last, in which side exactly 5,000,000 falls on.
 _LOW = Band("low bucket", high=1_000_000, high_closed=False)
 _MEDIUM = Band("medium bucket", 1_000_000, 5_000_000)
 _HIGH = Band("high bucket", low=5_000_000, low_closed=False)
@@ -82,6 +83,9 @@ PRINCIPAL_BUCKETS = {
     "unknown": Banding((_LOW, _MEDIUM, _HIGH), "Unknown"),
     "high": Banding((_LOW, _MEDIUM), "high bucket"),
     "null": Banding((_LOW, _MEDIUM, _HIGH), None),
+    "high_from_limit": Banding(
+        (_LOW, Band("medium bucket", 1_000_000, 5_000_000, high_closed=False)), "high bucket"
+    ),
 }
 
 # The thresholds of the activity flag and the volume category.
@@ -99,7 +103,8 @@ def principal_bucket(
     """``labels`` renames low, medium and high in that order."""
     banding = PRINCIPAL_BUCKETS[variant]
     if labels is not None:
-        default = labels[2] if variant == "high" else banding.default
+        closed_by_high = len(banding.bands) == 2
+        default = labels[2] if closed_by_high else banding.default
         banding = banding.relabel(labels[: len(banding.bands)], default)
     return banding.label(amount)
 

@@ -108,6 +108,8 @@ PRINCIPAL = {
     "ELSE '{high}' END",
     "null": "CASE WHEN {x} < 1000000 THEN '{low}' WHEN {x} <= 5000000 THEN '{medium}' "
     "WHEN {x} > 5000000 THEN '{high}' END",
+    "high_from_limit": "CASE WHEN {x} < 1000000 THEN '{low}' WHEN {x} < 5000000 "
+    "THEN '{medium}' ELSE '{high}' END",
 }
 RULE = {
     "channel": "channel = 'UPI'",

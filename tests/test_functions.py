@@ -48,6 +48,7 @@ def test_principal_bucket_edges(spark):
     assert labels() == [low, medium, medium, high, "Unknown"]
     assert labels("high") == [low, medium, medium, high, high]
     assert labels("null") == [low, medium, medium, high, None]
+    assert labels("high_from_limit") == [low, medium, high, high, high]
     assert labels("high", ("l", "m", "h")) == ["l", "m", "m", "h", "h"]
     assert labels("unknown", ("l", "m", "h")) == ["l", "m", "m", "h", "Unknown"]
 
