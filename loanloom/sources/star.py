@@ -7,7 +7,7 @@ column pruning and filters still reach the Parquet scans.  Ids stay numeric.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -189,5 +189,7 @@ class Bank:
         )
 
 
+@lru_cache(maxsize=8)
 def open_bank(spark: SparkSession, folder: str) -> Bank:
+    """The tables of a folder; the same lazy views on every call in a session."""
     return Bank(configure(spark), folder.rstrip("/"))
