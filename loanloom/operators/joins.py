@@ -32,10 +32,11 @@ def fan_out(
 ) -> DataFrame:
     """Join with one row per match, where a key may hold a large share of ``detail``.
 
-    A key with more than ``hot_rows`` (``HOT_ROWS``) detail rows is cut into parts of about that size by
-    a hash of ``spread_by`` (a column of ``detail`` that tells its rows apart), and the
-    ``df`` rows of that key are repeated once per part.  All other keys have one part, so
-    nothing is repeated for them.  ``how`` is ``"inner"`` or ``"left"``.
+    A key with more than ``hot_rows`` detail rows (``HOT_ROWS`` by default) is cut into
+    parts of about that size by a hash of ``spread_by``, a column of ``detail`` that tells
+    its rows apart, and the ``df`` rows of that key are repeated once per part.  All other
+    keys have one part, so nothing is repeated for them.  ``how`` is ``"inner"`` or
+    ``"left"``.
 
     Key sizes come from one partially aggregated pass over the key column.  Only the
     ``MAX_HOT_KEYS`` largest keys are cut, which bounds what is broadcast; a key beyond

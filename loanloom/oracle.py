@@ -193,11 +193,11 @@ def _segments(
         {join}"""
 
 
-def _active(columns: str, tail: str = "", loans: str | None = None, where: str = ACTIVE_HOME) -> str:
+def _active(columns: str, loans: str | None = None, where: str = ACTIVE_HOME) -> str:
     if loans is None:
         loans = f"SELECT * FROM loans l WHERE {where}"
     return f"""
-        SELECT {columns} FROM ({loans}) l JOIN customers c ON c.customer_id = l.customer_id {tail}"""
+        SELECT {columns} FROM ({loans}) l JOIN customers c ON c.customer_id = l.customer_id"""
 
 
 BASIC = "c.customer_id, c.first_name, c.last_name, l.loan_type, l.loan_status"

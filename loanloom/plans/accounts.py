@@ -18,7 +18,8 @@ def first_accounts(
     accounts: DataFrame, n: int = 5, balance: str = "available_balance"
 ) -> DataFrame:
     """The first ``n`` accounts by id with their balance."""
-    return first_rows(accounts.select("account_id", F.col(balance).alias("balance")), n, ["account_id"])
+    shown = accounts.select("account_id", F.col(balance).alias("balance"))
+    return first_rows(shown, n, ["account_id"])
 
 
 def approved_records(

@@ -111,7 +111,8 @@ def loan_customer_segments(
     A customer without transactions counts 0 and gets the negative label, or a null flag
     and count with ``unknown_flag``.  ``keep_all_loans`` keeps loans whose customer is not
     on file.  ``count_per="joined_row"`` counts a customer's active transactions once per
-    selected loan, as a count over the joined detail rows does.  ``synonyms`` accepts other spellings of the type and status.
+    selected loan, as a count over the joined detail rows does.  ``synonyms`` accepts other
+    spellings of the type and status.
     """
     one_per_customer = attach in REPRESENTATIVES
     picked = matching_loans(

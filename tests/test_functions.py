@@ -135,7 +135,10 @@ def test_masks(spark):
 def test_masks_never_leak(spark, people):
     df = spark.createDataFrame(people, "name string, phone string")
     masked = df.select(
-        "name", "phone", fn.mask_name(F.col("name")).alias("n"), fn.mask_phone(F.col("phone")).alias("p")
+        "name",
+        "phone",
+        fn.mask_name(F.col("name")).alias("n"),
+        fn.mask_phone(F.col("phone")).alias("p"),
     )
     for row in masked.collect():
         words = row["name"].split()

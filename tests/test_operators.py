@@ -16,7 +16,8 @@ ROWS = st.lists(st.tuples(KEYS, st.one_of(st.none(), st.integers(-5, 5))), max_s
 
 
 def frame(spark, rows, value="v"):
-    return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(rows)], f"id int, k string, {value} int")
+    numbered = [(i, k, v) for i, (k, v) in enumerate(rows)]
+    return spark.createDataFrame(numbered, f"id int, k string, {value} int")
 
 
 @FEW
@@ -98,7 +99,12 @@ def test_lookup_or_zero_keeps_rows(bank):
 
 
 @FEW
-@given(st.lists(st.tuples(st.sampled_from(["", "x", None]), st.one_of(st.none(), st.integers(0, 3))), max_size=25))
+@given(
+    st.lists(
+        st.tuples(st.sampled_from(["", "x", None]), st.one_of(st.none(), st.integers(0, 3))),
+        max_size=25,
+    )
+)
 def test_profile_matches_definitions(spark, rows):
     df = spark.createDataFrame(rows, "t string, v int")
     row = op.dq_profile(df, "v").first().asDict()

@@ -245,7 +245,8 @@ def test_flag_threshold_and_default(bank):
 
 
 def test_activity_rules(bank):
-    success = {r["customer_id"]: r for r in segments(bank, "none", upi_rule="channel_success").collect()}
+    successful = segments(bank, "none", upi_rule="channel_success")
+    success = {r["customer_id"]: r for r in successful.collect()}
     assert success["C650"]["upi_transaction_count"] == 10
     assert success["C650"]["upi_inclined_flag"] == "Not UPI Inclined"
     kind = segments(bank, "none", upi_rule="transaction_type")

@@ -56,7 +56,8 @@ def skewed(spark, tmp_path_factory):
     for name in ("customer", "supplier", "orders", "events", "lineitem"):
         df = spark.read.parquet(str(FOLDER / f"{name}.parquet"))
         if name == "orders":
-            owner = every(11, "o_orderkey", None, every(17, "o_orderkey", 999_999, F.col("o_custkey")))
+            owner = every(17, "o_orderkey", 999_999, F.col("o_custkey"))
+            owner = every(11, "o_orderkey", None, owner)
             df = df.withColumns(
                 {
                     "o_custkey": every(3, "o_orderkey", 7, owner).cast("long"),

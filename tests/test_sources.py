@@ -42,7 +42,7 @@ def test_csv_null_is_an_empty_cell_and_types_follow_the_reader(spark, bank):
     save(bank.accounts.coalesce(1).orderBy("account_id"), path, "csv")
     lines = sorted(r[0] for r in spark.read.text(path).collect())
     assert "A6,CFAIL,,6.00,Savings,true" in lines
-    assert "account_id,customer_id,available_balance,current_balance,account_type,is_active" in lines
+    assert ",".join(bank.accounts.columns) in lines
     text = load(spark, path, "csv")
     assert {t for _, t in text.dtypes} == {"string"}
     guessed = dict(load(spark, path, "csv", infer=True).dtypes)
