@@ -29,6 +29,7 @@ def fan_out(
     spread_by: str,
     how: str = "inner",
     hot_rows: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join with one row per match, where a key may hold a large share of ``detail``.
 
@@ -38,16 +39,17 @@ def fan_out(
     keys have one part, so nothing is repeated for them.  ``how`` is ``"inner"`` or
     ``"left"``.
 
-    Key sizes come from one partially aggregated pass over the key column.  Only the
-    ``MAX_HOT_KEYS`` largest keys are cut, which bounds what is broadcast; a key beyond
+    Key sizes come from one partially aggregated pass over the key column, or from
+    ``sizes`` (the key and its number of rows in ``detail``, in a column ``rows``) where the
+    caller has counted already.  Only the ``MAX_HOT_KEYS`` largest keys are cut, which bounds what is broadcast; a key beyond
     those holds less than one in ``MAX_HOT_KEYS`` of the rows and needs no cutting.
     """
     hot_rows = hot_rows or HOT_ROWS
-    size = F.col("__rows")
+    if sizes is None:
+        sizes = detail.groupBy(key).agg(F.count("*").alias("rows"))
+    size = F.col("rows")
     hot = F.broadcast(
-        detail.groupBy(key)
-        .agg(F.count("*").alias("__rows"))
-        .filter(size > hot_rows)
+        sizes.filter(F.col(key).isNotNull() & (size > hot_rows))
         .orderBy(size.desc(), key)
         .limit(MAX_HOT_KEYS)
         .select(key, F.ceil(size / hot_rows).cast("int").alias("__parts"))

@@ -664,7 +664,8 @@ BODIES |= {
 }
 BODIES |= {
     f"upi_rule_{r}": f"""
-        SELECT customer_id, count(*) FILTER (WHERE {p}) AS upi_transaction_count,
+        SELECT customer_id, count(*) AS transaction_rows,
+               count(*) FILTER (WHERE {p}) AS upi_transaction_count,
                CASE WHEN count(*) FILTER (WHERE {p}) > 10 THEN 'UPI Inclined'
                     ELSE 'Not UPI Inclined' END AS upi_inclined_flag
         FROM transactions GROUP BY 1"""

@@ -65,13 +65,16 @@ REPRESENTATIVES: dict[str, tuple[Callable[[], Column], tuple[str, ...]]] = {
 def customer_activity(
     transactions: DataFrame, rule: str = "channel", representative: str | None = None
 ) -> DataFrame:
-    """Per customer: the count of active transactions and one representative transaction.
+    """Per customer: its transactions, the active ones, and one representative transaction.
 
     Null times sort before all others, so a customer keeps a representative even when no
     transaction has a time.
     """
     active = F.coalesce(ACTIVITY_RULES[rule](), F.lit(False))
-    measures = [F.count_if(active).alias("upi_transaction_count")]
+    measures = [
+        F.count("*").alias("transaction_rows"),
+        F.count_if(active).alias("upi_transaction_count"),
+    ]
     if representative is not None:
         eligible, order = REPRESENTATIVES[representative]
         measures.append(
@@ -132,7 +135,7 @@ def loan_customer_segments(
     activity = customer_activity(transactions, upi_rule, attach if one_per_customer else None)
     base = base.join(activity, KEY, "left")
 
-    count = F.col("upi_transaction_count")
+    count = F.when(F.col("transaction_rows") > 0, F.col("upi_transaction_count"))
     if count_per == "joined_row":
         count = count * F.col("__loans")
     flag = activity_flag(count, threshold, *flag_labels)
@@ -155,7 +158,11 @@ def loan_customer_segments(
         base = base.select("*", "representative.*")
     elif attach == "detail":
         detail = transactions.select(KEY, "transaction_id", *TRANSACTION_COLUMNS)
-        base = fan_out(base, detail, KEY, "transaction_id", "left")
+        # The test on the second count is always true.  It keeps both counts in this use of
+        # the grouping too, so that Spark sees the same shuffle twice and runs it once.
+        counted = activity.filter(F.col("upi_transaction_count") >= 0)
+        sizes = counted.select(KEY, F.col("transaction_rows").alias("rows"))
+        base = fan_out(base, detail, KEY, "transaction_id", "left", sizes=sizes)
     elif attach != "none":
         raise ValueError(f"unknown attach: {attach}")
     return base.select(*[c for c in REPORT_COLUMNS if c in base.columns])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loanloom import operators as op
 from loanloom import plans
+from loanloom.operators import joins
 
 HOT = 7
 N_CUSTOMERS = 2_000
@@ -128,6 +129,19 @@ def test_fan_out_cuts_the_hot_customer(spark, big):
     }
 
 
+@pytest.mark.parametrize("hot_rows", [500, 1_000_000])
+def test_detail_counts_transactions_once(spark, big, monkeypatch, hot_rows):
+    """Counts for the flag and sizes for the cut come from the same shuffle."""
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
+    with conf(spark, **NO_BROADCAST):
+        df = plans.loan_customer_segments(
+            big.customers, big.loans, big.transactions, attach="detail"
+        )
+        df.collect()
+        final = plan_text(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 4
+
+
 def test_fan_out_splits_a_hot_key_on_the_other_side(spark, big):
     many = big.transactions.select("customer_id", F.col("merchant_name").alias("note"))
     few = big.loans.select("customer_id", "loan_id")
