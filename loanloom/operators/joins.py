@@ -76,7 +76,7 @@ def lookup_or_zero(
 ) -> DataFrame:
     """Add the ``value`` found in ``ref`` under ``key``; 0 where there is none.
 
-    Several reference rows per key are summed first, so ``df`` keeps its row count.
+    Several ``ref`` rows per key are summed first, so ``df`` keeps its row count.
     """
     name = name or value
     per_key = ref.groupBy(key).agg(F.sum(value).alias(name))
