@@ -13,11 +13,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from loanloom import oracle
+from loanloom import queries as registry
 from loanloom.operators import joins
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = Path("/root/testdata/sf0.001")
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = registry.registered(), oracle.oracle_texts()
 
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="needs the driver's tables")
 
@@ -81,6 +83,7 @@ def skewed(spark, tmp_path_factory):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
