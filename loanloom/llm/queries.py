@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_passages
+from .quality import THRESHOLD, held_out, score_quality
+from .secrets import KINDS, scan
 from .texts import table
+from .tokens import Vocabulary, count_tokens
+
+#: The piece table with scores that op7 counts by.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +29,42 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by fixed patterns and by the randomness battery."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    joined = lambda spans: F.array_join(F.transform(spans, text), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != KINDS[-1])
+    return scan(docs, keep=("doc_id",)).select(
+        "row.doc_id",
+        *[of(kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the piece table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(docs, Vocabulary.load(VOCABULARY), keep=("doc_id",))
+    return counted.select("row.doc_id", "n_tokens")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document as learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), keep=("doc_id",))
+    return scored.select(
+        "row.doc_id",
+        held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def registered() -> dict:
-    return {f.__name__: f for f in (op3_decontaminate,)}
+    return {f.__name__: f for f in (op3_decontaminate, op4_secrets, op7_tokens, op9_quality)}
 
 
 def oracle_texts() -> dict[str, str]:
