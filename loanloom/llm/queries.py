@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import find_passages
 from .quality import THRESHOLD, held_out, score_quality
 from .secrets import KINDS, scan
+from .substrings import dedup_substrings
 from .texts import table
 from .tokens import Vocabulary, count_tokens
 
@@ -44,6 +45,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without its repeated passages of twenty words and more."""
+    kept = dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the piece table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,7 +71,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict:
-    return {f.__name__: f for f in (op3_decontaminate, op4_secrets, op7_tokens, op9_quality)}
+    return {f.__name__: f for f in (op3_decontaminate, op4_secrets, op6_substrings, op7_tokens, op9_quality)}
 
 
 def oracle_texts() -> dict[str, str]:
