@@ -10,12 +10,38 @@ from .quality import THRESHOLD, held_out, score_quality
 from .secrets import KINDS, scan
 from .substrings import dedup_substrings
 from .texts import table
+from .topk import integers, top_k
 from .tokens import Vocabulary, count_tokens
 
 #: The piece table with scores that op7 counts by.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows by inner product for every fiftieth vector."""
+    points = integers(table(spark, sf_dir, "embeddings"))
+    return top_k(points, points.where("vec_id % 50 = 0"))
+
+
+OP1_SQL = """
+WITH points AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v)::BIGINT AS score
+    FROM points q JOIN points p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+    FROM scored
+)
+WHERE rank <= 5
+"""
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of which documents lie in a ten-word window of a benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,8 +97,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict:
-    return {f.__name__: f for f in (op3_decontaminate, op4_secrets, op6_substrings, op7_tokens, op9_quality)}
+    return {f.__name__: f for f in (op1_topk, op3_decontaminate, op4_secrets, op6_substrings, op7_tokens, op9_quality)}
 
 
 def oracle_texts() -> dict[str, str]:
-    return {}
+    return {"op1_topk": OP1_SQL}
