@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_passages
+from .jaccard import jaccard_groups
 from .quality import THRESHOLD, held_out, score_quality
 from .secrets import KINDS, scan
 from .substrings import dedup_substrings
@@ -84,6 +85,13 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("row.doc_id", "n_tokens")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of linked documents that each document belongs to."""
+    return jaccard_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "class_id"
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document as learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -96,8 +104,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+QUERIES = (
+    op1_topk, op3_decontaminate, op4_secrets, op6_substrings, op7_tokens, op8_jaccard, op9_quality,
+)
+
+
 def registered() -> dict:
-    return {f.__name__: f for f in (op1_topk, op3_decontaminate, op4_secrets, op6_substrings, op7_tokens, op9_quality)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_texts() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from loanloom.session import shared_path
 
+#: A bit table has so many bits a key, and never more than the second number.
+BITS_A_KEY, MOST_BITS = 12, 1 << 28
+
 #: A batch kernel takes the texts of some rows (None for null) and returns one column per field.
 Kernel = Callable[[list], list]
 
@@ -93,6 +97,46 @@ def _slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(at, step)
 
 
+def _slots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two places of each key (64 bits, read as unsigned) in a table of ``bits``."""
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mask = np.uint64(bits - 1)
+    return [(mixed >> np.uint64(s) & mask).astype(np.int64) for s in (35, 7)]
+
+
+def bit_table(keys: DataFrame) -> np.ndarray | None:
+    """A table of bounded size in which every key (one long column) is found, and a few others;
+    None without keys.  A full table finds everything, so it only ever lets more through."""
+    count = keys.count()
+    if not count:
+        return None
+    bits = min(MOST_BITS, 1 << max(10, (count * BITS_A_KEY - 1).bit_length()))
+
+    def emit(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.concatenate(_slots(own, bits))
+            yield [at >> 6, np.left_shift(np.int64(1), at & 63)]
+
+    # At most bits / 64 rows reach the driver.
+    rows = (
+        gather(keys, "word int, bit bigint", lambda: emit)
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bit"))
+        .toArrow()
+    )
+    table = np.zeros(bits >> 6, np.int64)
+    table[rows["word"].to_numpy()] = rows["bit"].to_numpy()
+    return table.view(np.uint8)
+
+
+def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), bool)
+    for slot in _slots(keys.view(np.uint64), len(table) * 8):
+        found &= (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """``(id, component)`` for every id in ``edges(a, b)``; the component is its smallest id.
 
