@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_passages
 from .jaccard import jaccard_groups
+from .lines import dedup_lines
 from .quality import THRESHOLD, held_out, score_quality
 from .secrets import KINDS, scan
 from .substrings import dedup_substrings
@@ -43,6 +44,15 @@ WHERE rank <= 5
 """
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without lines that occur before, within two edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select(
+        "row.doc_id", "n_lines", "n_removed",
+        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of which documents lie in a ten-word window of a benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -105,7 +115,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    op1_topk, op3_decontaminate, op4_secrets, op6_substrings, op7_tokens, op8_jaccard, op9_quality,
+    op1_topk, op2_lines, op3_decontaminate, op4_secrets, op6_substrings, op7_tokens, op8_jaccard, op9_quality,
 )
 
 
