@@ -7,8 +7,9 @@ Level 1 needs one half from every window, not all: the one with the least hash a
 inside, which is the same one wherever the window occurs.  Halves seen at more than one place
 (of different texts, or twice in one) go into a bit table of bounded size; a full table lets
 more candidates through, never fewer.  Level 2 hashes the windows around repeated halves to 128
-bits, finds the first place of each by an aggregate with map-side combine and marks the others.
-No candidates at a level end the search.
+bits, finds the first place of each and marks the others.  Of equal windows in one batch all but
+the first are marked at once and only that one is compared further, so that a window which many
+texts share costs one row a batch in the shuffle.  No candidates at a level end the search.
 
 Whole copies of a text are settled by its hash alone: every window of a later copy also starts
 in the first, so it loses all its words.
@@ -24,12 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import gather, written
+from .texts import bit_table, gather, in_table, written
 
 WINDOW = 20
-#: Bits of the table: so many a key, and never more than the second number.
-BITS_A_KEY, MOST_BITS = 12, 1 << 28
-
 _LAST = (1 << 63) - 1
 _hash_a = xxhash.xxh3_64_intdigest
 _hash_b = partial(xxhash.xxh3_64_intdigest, seed=1)
@@ -76,12 +74,6 @@ def _halves(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     return parts, least + np.arange(len(inside))
 
 
-def _slots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Two places of each key in a table of ``bits`` (a power of two)."""
-    mask = np.uint64(bits - 1)
-    return [(keys & mask).astype(np.int64), (keys >> np.uint64(33) & mask).astype(np.int64)]
-
-
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Starts of the windows of ``docs(doc_id, tag, text)`` whose words also start earlier.
 
@@ -98,22 +90,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .select("half"),
         "halves",
     )
-    keys = repeated.count()
-    schema = "doc_id bigint, tag bigint, starts array<int>"
-    if keys == 0:
+    filled = bit_table(repeated)
+    if filled is None:
+        schema = "doc_id bigint, tag bigint, starts array<int>"
         return docs.sparkSession.createDataFrame([], schema)
-    bits = min(MOST_BITS, 1 << max(10, (keys * BITS_A_KEY - 1).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_table(repeated, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
     make = lambda: partial(_emit_windows, shared=shared, window=window)
-    places = written(gather(texts, "a bigint, b bigint, doc_id bigint, spot bigint", make), "windows")
-    first = (
-        places.groupBy("a", "b")
-        .agg(F.min(F.struct("doc_id", "spot")).alias("first"),
-             F.max(F.struct("doc_id", "spot")).alias("last"))
-        .where("first <> last")
-        .select("a", "b", "first")
+    fields = "a bigint, b bigint, doc_id bigint, spot bigint, later boolean"
+    places = gather(texts, fields, make).repartition("a", "b").sortWithinPartitions(
+        "a", "b", "doc_id", "spot"
     )
-    later = places.join(first, ["a", "b"]).where(F.struct("doc_id", "spot") > F.col("first"))
+    later = gather(places, "doc_id bigint, spot bigint", lambda: _later)
     return later.groupBy("doc_id", F.expr("spot & 4294967295").alias("tag")).agg(
         F.collect_list(F.shiftright("spot", 32).cast("int")).alias("starts")
     )
@@ -134,29 +121,8 @@ def _emit_halves(batches, window):
             yield [np.concatenate(keys), np.concatenate(places)]
 
 
-def _bit_table(keys: DataFrame, bits: int) -> np.ndarray:
-    """The table as bytes; at most bits / 64 rows reach the driver."""
-
-    def emit(batches):
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.concatenate(_slots(own, bits))
-            yield [at >> 6, np.left_shift(np.int64(1), at & 63)]
-
-    rows = (
-        gather(keys, "word int, bit bigint", lambda: emit)
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bit"))
-        .toArrow()
-    )
-    table = np.zeros(bits >> 6, np.int64)
-    table[rows["word"].to_numpy()] = rows["bit"].to_numpy()
-    return table.view(np.uint8)
-
-
 def _emit_windows(batches, shared, window):
     table = shared.value
-    bits = len(table) * 8
     for batch in batches:
         out: list[list] = [[], [], [], []]
         for doc, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -165,10 +131,7 @@ def _emit_windows(batches, shared, window):
                 continue
             parts, least = _halves(words, window)
             at = np.unique(least)
-            in_table = np.ones(len(at), bool)
-            for slot in _slots(parts[at], bits):
-                in_table &= (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-            starts = np.flatnonzero(np.isin(least, at[in_table]))
+            starts = np.flatnonzero(np.isin(least, at[in_table(table, parts[at])]))
             if len(starts):
                 other = np.fromiter(map(_hash_b, words), np.uint64, len(words))
                 half = (window + 1) // 2
@@ -180,7 +143,40 @@ def _emit_windows(batches, shared, window):
                 out[2].append(np.full(len(starts), doc))
                 out[3].append((starts.astype(np.int64) << 32) | tag)
         if out[0]:
-            yield [np.concatenate(c) for c in out]
+            a, b, docs, spots = (np.concatenate(c) for c in out)
+            order = np.lexsort((spots, docs, b, a))
+            a, b, docs, spots = a[order], b[order], docs[order], spots[order]
+            later = _not_first(a, b, docs, spots)
+            # What is settled goes along under a key of its own.
+            yield [np.where(later, docs, a), np.where(later, spots, b), docs, spots, later]
+
+
+def _not_first(a, b, docs, spots) -> np.ndarray:
+    """Which sorted rows have another place than the first row of their key."""
+    start = np.ones(len(a), bool)
+    start[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.maximum.accumulate(np.where(start, np.arange(len(a)), 0))
+    return (docs != docs[first]) | (spots != spots[first])
+
+
+def _later(batches):
+    """Places that are not the first of their key; rows come sorted by key and place."""
+    held = None  # the first row of the key that may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy() for c in batch.columns[:4]]
+        if held is not None:
+            rows = [np.concatenate([[h], c]) for h, c in zip(held, rows, strict=True)]
+        later = _not_first(*rows)
+        first = len(later) - 1
+        while first and rows[0][first - 1] == rows[0][-1] and rows[1][first - 1] == rows[1][-1]:
+            first -= 1
+        later_here = later[held is not None :]
+        held = [c[first] for c in rows]
+        docs, spots = (batch.column(k).to_numpy() for k in (2, 3))
+        later_here = later_here | batch.column(4).to_numpy(zero_copy_only=False)
+        yield [docs[later_here], spots[later_here]]
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from loanloom.llm import queries, substrings
+from loanloom.llm import queries, substrings, texts
 from loanloom.llm.substrings import dedup_substrings
 
 
@@ -60,7 +60,7 @@ def test_query_equals_brute_force(spark, folder, seed):
 def test_full_table_changes_nothing(spark, monkeypatch):
     docs = random_docs(4)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
-    monkeypatch.setattr(substrings, "MOST_BITS", 64)
+    monkeypatch.setattr(texts, "MOST_BITS", 64)
     found = {
         r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in dedup_substrings(df).collect()
     }
@@ -96,3 +96,21 @@ def test_rows_that_share_an_id(spark):
         ((r.doc_id or 99, r.n_words, r.n_removed) for r in dedup_substrings(df).collect())
     )
     assert found == [(1, 25, 0), (1, 25, 0), (1, 26, 25), (2, 26, 25), (99, 25, 25)]
+
+
+def test_first_places_across_batches():
+    import pyarrow as pa
+
+    keys = [1, 1, 1, 1, 2, 2, 3]
+    docs, spots = [5, 5, 6, 6, 1, 1, 9], [0, 0, 0, 1, 4, 4, 0]
+    settled = [False] * 6 + [True]
+    for step in (1, 2, 3, 7):
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [pa.array(c[k : k + step]) for c in (keys, keys, docs, spots, settled)],
+                names=["a", "b", "doc_id", "spot", "later"],
+            )
+            for k in range(0, 7, step)
+        ]
+        found = [p for part in substrings._later(iter(batches)) for p in zip(*part)]
+        assert found == [(6, 0), (6, 1), (9, 0)]
