@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chats import format_chats
 from .decontaminate import find_passages
 from .jaccard import jaccard_groups
 from .lines import dedup_lines
+from .mixing import mix
 from .quality import THRESHOLD, held_out, score_quality
 from .secrets import KINDS, scan
 from .substrings import dedup_substrings
@@ -82,6 +84,29 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Shares of tokens by domain that op5 and the pipeline mix to.
+TARGETS = {"clean": 0.95, "junk": 0.05, "toxic": 0.0}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """The labelled table as one domain for each document."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(
+        (F.col("toxic") == 0) & (F.col("quality") == 1), "clean"
+    )
+    return labels.select("doc_id", domain.alias("domain")).where("domain IS NOT NULL")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is wanted so that domains reach their shares of tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mix(docs, domains_of(table(spark, sf_dir, "labels")), TARGETS)
+    return mixed.select(
+        "row.doc_id", "n_tokens",
+        *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(sorted(TARGETS))],
+        "rate", "copies",
+    )
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without its repeated passages of twenty words and more."""
     kept = dedup_substrings(table(spark, sf_dir, "documents"))
@@ -114,8 +139,18 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in reply order, without quotes."""
+    chats = format_chats(table(spark, sf_dir, "conversations"))
+    return chats.select(
+        "conv_id", F.col("part.opening").alias("opening_block"), F.col("part.turn").alias("block"),
+        "n_messages", "n_quotes", "n_linked", "chat",
+    )
+
+
 QUERIES = (
-    op1_topk, op2_lines, op3_decontaminate, op4_secrets, op6_substrings, op7_tokens, op8_jaccard, op9_quality,
+    op1_topk, op2_lines, op3_decontaminate, op4_secrets, op5_mixing, op6_substrings, op7_tokens,
+    op8_jaccard, op9_quality, op10_chats,
 )
 
 
