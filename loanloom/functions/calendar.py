@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 
 def month_date(ts: Column) -> Column:
-    """First day of the month as a date."""
+    """First day of the month as a date; of a zoned time in the session zone, which
+    ``configure`` sets to UTC."""
     return F.trunc(ts.cast("date"), "month")
 
 
 def month_start(ts: Column) -> Column:
-    """First instant of the month as a wall-clock timestamp, whatever the session zone."""
+    """First instant of the month as a wall-clock timestamp."""
     return month_date(ts).cast("timestamp_ntz")
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 # A key with more detail rows than this is cut into parts of about this many rows.
 HOT_ROWS = 1_000_000
-# At most this many keys are cut, hence broadcast.
-MAX_HOT_KEYS = 10_000
+# No more keys than this can hold more than one in so many of the rows, so a threshold of that
+# share bounds what is broadcast: two numbers a key.
+MOST_HOT_KEYS = 1_000_000
 
 
 def keep_matching(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -29,7 +30,6 @@ def fan_out(
     spread_by: str,
     how: str = "inner",
     hot_rows: int | None = None,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join with one row per match, where a key may hold a large share of ``detail``.
 
@@ -39,20 +39,18 @@ def fan_out(
     keys have one part, so nothing is repeated for them.  ``how`` is ``"inner"`` or
     ``"left"``.
 
-    Key sizes come from one partially aggregated pass over the key column, or from
-    ``sizes`` (the key and its number of rows in ``detail``, in a column ``rows``) where the
-    caller has counted already.  Only the ``MAX_HOT_KEYS`` largest keys are cut, which bounds what is broadcast; a key beyond
-    those holds less than one in ``MAX_HOT_KEYS`` of the rows and needs no cutting.
+    Key sizes come from one partially aggregated pass over the key column.  The threshold is
+    at least one in ``MOST_HOT_KEYS`` of the rows, so no more keys than that exceed it and every
+    one that does is cut; up to 10^12 rows that is ``HOT_ROWS`` itself.
     """
-    hot_rows = hot_rows or HOT_ROWS
-    if sizes is None:
-        sizes = detail.groupBy(key).agg(F.count("*").alias("rows"))
-    size = F.col("rows")
+    total = detail.select(F.count("*")).scalar()
+    least = F.greatest(F.lit(hot_rows or HOT_ROWS), F.ceil(total / MOST_HOT_KEYS))
+    sizes = detail.groupBy(key).agg(F.count("*").alias("rows"))
     hot = F.broadcast(
-        sizes.filter(F.col(key).isNotNull() & (size > hot_rows))
-        .orderBy(size.desc(), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(size / hot_rows).cast("int").alias("__parts"))
+        sizes.filter(F.col(key).isNotNull())
+        .withColumn("__parts", F.ceil(F.col("rows") / least).cast("int"))
+        .filter("__parts > 1")
+        .select(key, "__parts")
     )
     parts = F.coalesce(F.col("__parts"), F.lit(1))
     repeated = df.join(hot, key, "left").withColumn(
@@ -112,14 +110,10 @@ def spine_enrich(
     others: Mapping[str, DataFrame],
     key: str,
     n: int,
-    order: Mapping[str, Sequence[Column | str]],
     spine_order: Sequence[Column | str],
 ) -> DataFrame:
-    """First ``n`` spine rows, left-joined to the first ``n`` rows of each other table.
-
-    A sampling report: sparse matches are expected, since the samples are independent.
-    """
+    """First ``n`` spine rows, left-joined to each other table as a whole."""
     result = first_rows(spine, n, spine_order)
-    for name, other in others.items():
-        result = result.join(first_rows(other, n, order[name]), key, "left")
+    for other in others.values():
+        result = result.join(other, key, "left")
     return result

@@ -20,7 +20,8 @@ TABLES = {
                CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Verified' WHEN 'BUILDING' THEN 'Verified'
                     WHEN 'MACHINERY' THEN 'Verified' WHEN 'FURNITURE' THEN 'Failed'
                     WHEN 'HOUSEHOLD' THEN 'Pending' END AS kyc_status,
-               CAST(nullif(300 + (c_custkey * 37) % 560, 444) AS INTEGER) AS credit_score
+               CAST(nullif(300 + (CAST(CAST(c_acctbal AS DECIMAL(18,2)) * 100 AS BIGINT) % 560
+                   + 560) % 560, 444) AS INTEGER) AS credit_score
         FROM customer""",
     "loans": """
         SELECT o_orderkey AS loan_id, o_custkey AS customer_id,
@@ -41,7 +42,9 @@ TABLES = {
                     AS remaining_balance
         FROM orders""",
     "transactions": """
-        SELECT event_id AS transaction_id, user_id AS account_id, user_id AS customer_id,
+        SELECT event_id AS transaction_id,
+               user_id * 10 + CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS account_id,
+               user_id AS customer_id,
                CAST(CAST(value AS DECIMAL(18,2)) * 100 AS DECIMAL(18,2)) AS amount,
                CASE WHEN event_type IN ('signup', 'error') THEN 'Credit' ELSE 'Debit' END
                     AS transaction_type,
@@ -55,7 +58,7 @@ TABLES = {
                     ELSE 'Flagged' END AS status
         FROM events""",
     "accounts": """
-        SELECT c_custkey AS account_id, c_custkey AS customer_id,
+        SELECT c_custkey * 10 + 1 AS account_id, c_custkey AS customer_id,
                CASE WHEN c_acctbal >= -900
                     THEN CAST(CAST(c_acctbal AS DECIMAL(18,2)) * 20 AS DECIMAL(18,2)) END
                     AS available_balance,
@@ -63,7 +66,7 @@ TABLES = {
                'Savings' AS account_type, c_acctbal >= 0 AS is_active
         FROM customer
         UNION ALL
-        SELECT -1 - s_suppkey, s_suppkey,
+        SELECT s_suppkey * 10 + 2, s_suppkey,
                CASE WHEN s_acctbal >= -900
                     THEN CAST(CAST(s_acctbal AS DECIMAL(18,2)) * 20 AS DECIMAL(18,2)) END,
                CAST(CAST(s_acctbal AS DECIMAL(18,2)) * 21 AS DECIMAL(18,2)),
@@ -340,7 +343,7 @@ BODIES: dict[str, str] = {
         SELECT a.account_id, l.customer_id,
                CAST(l.remaining_balance AS DOUBLE) AS remaining_balance, l.loan_type
         FROM loans l JOIN customers c ON c.customer_id = l.customer_id
-        JOIN accounts a ON a.account_id = l.customer_id WHERE l.loan_type = 'Auto'""",
+        JOIN accounts a ON a.account_id = l.customer_id * 10 + 1 WHERE l.loan_type = 'Auto'""",
     "loans_spine_left": """
         SELECT l.loan_id, l.customer_id, c.first_name, c.last_name
         FROM loans l LEFT JOIN customers c
@@ -620,10 +623,8 @@ BODIES: dict[str, str] = {
                CAST(l.remaining_balance AS DOUBLE) AS remaining_balance
         FROM (SELECT * FROM accounts ORDER BY available_balance DESC NULLS LAST, account_id
               LIMIT 250) a
-        LEFT JOIN (SELECT * FROM customers ORDER BY customer_id LIMIT 250) c
-        ON c.customer_id = a.customer_id
-        LEFT JOIN (SELECT * FROM loans ORDER BY loan_id LIMIT 250) l
-        ON l.customer_id = a.customer_id""",
+        LEFT JOIN customers c ON c.customer_id = a.customer_id
+        LEFT JOIN loans l ON l.customer_id = a.customer_id""",
     # quality
     "dq_profile_segments": _profile(
         _segments("detail"), SEGMENT_COLUMNS, SEGMENT_TEXTS, "principal_amount"
@@ -642,14 +643,24 @@ BODIES: dict[str, str] = {
                    AS average
         FROM accounts""",
     "row_count_check": """
-        SELECT count(DISTINCT loan_id) AS expected_row_count, count(*) AS row_count,
-               count(DISTINCT loan_id) = count(*) AS passed
-        FROM loans""",
+        SELECT (SELECT count(*) FROM customers) AS expected_row_count, count(*) AS row_count,
+               count(*) = (SELECT count(*) FROM customers) AS passed
+        FROM accounts WHERE account_type = 'Savings'""",
     # sinks
     "save_load_table": _segments("latest"),
-    "save_load_parquet": f"""
+    "save_load_parquet": _monthly(f"{PADDED} AS month"),
+    "save_load_parquet_year": f"""
         SELECT * FROM ({_monthly(f"{PADDED} AS month")}) m WHERE month LIKE '1996-%'""",
     "save_load_csv": _segments("detail"),
+    "load_csv_text": """
+        SELECT CAST(loan_id AS VARCHAR) AS loan_id, CAST(customer_id AS VARCHAR) AS customer_id,
+               loan_type, loan_status, CAST(start_date AS VARCHAR) AS start_date
+        FROM loans""",
+    "load_csv_inferred": """
+        SELECT loan_status, CAST(sum(loan_id) AS BIGINT) AS ids,
+               CAST(min(start_date) AS VARCHAR) AS first_start,
+               CAST(sum(tenure_months) AS BIGINT) AS months
+        FROM loans GROUP BY 1""",
 }
 BODIES |= {
     f"credit_band_{v}": f"""

@@ -41,18 +41,11 @@ def monthly_channel_volume(
     Rows without a time form a month of their own, as in a plain grouping.
     """
     day, path = month_date(F.col(time)), F.col(channel)
-    volume = transactions.groupBy(day.alias("__month"), path.alias("channel")).agg(
-        F.count(counted).alias(count_name), F.sum(amount).alias(total_name)
-    )
+    measures = [F.count(counted).alias(count_name), F.sum(amount).alias(total_name)]
     if customer is not None:
-        # Grouped apart: only the keys go through the shuffle on customers, which hardly
-        # shrinks before it, and not the count and the sum with them.
-        people = transactions.groupBy(day.alias("__day"), path.alias("__path")).agg(
-            F.countDistinct(customer).alias("unique_customer_count")
-        )
-        same = F.col("__month").eqNullSafe(F.col("__day"))
-        same = same & F.col("channel").eqNullSafe(F.col("__path"))
-        volume = volume.join(people, same).drop("__day", "__path")
+        # Spark groups by customer first, so this is one scan and no task holds a month.
+        measures.append(F.countDistinct(customer).alias("unique_customer_count"))
+    volume = transactions.groupBy(day.alias("__month"), path.alias("channel")).agg(*measures)
 
     order = F.col("__month").desc() if latest_first else F.col("__month").asc()
     shown = [c.alias(n) for n, c in MONTH_FORMS[month](F.col("__month")).items()]

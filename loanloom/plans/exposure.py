@@ -40,25 +40,28 @@ def high_risk_exposure(
     non-null balance.
     """
     name = "total_transaction_volume"
+    # Only what risky customers own is grouped: the semi joins drop the rest before any shuffle
+    # of aggregates, and adaptive execution can split a hot customer on their left side.
+    risky = _risky(customers, kyc_status, below)
     if loan_status is not None:
         loans = loans.filter(F.col("loan_status") == loan_status)
+    accounts = accounts.join(risky, KEY, "left_semi")
+    loans = loans.join(risky, KEY, "left_semi")
 
     if add_loan_balance and fan_out:
-        totals = sum_over_pairs(
+        return sum_over_pairs(
             accounts, "available_balance", loans, "remaining_balance", KEY, name
         )
-    else:
-        owned = sum_by(accounts, [KEY], "available_balance", "available")
-        owed = loans.groupBy(KEY).agg(
-            F.sum("remaining_balance").alias("remaining"), F.count("*").alias("loan_rows")
-        )
-        total = F.col("available")
-        if add_loan_balance:
-            total = total + F.col("remaining")
-        elif fan_out:
-            total = total * F.col("loan_rows")
-        totals = owned.join(owed, KEY).select(KEY, total.alias(name))
-    return totals.join(_risky(customers, kyc_status, below), KEY, "left_semi")
+    owned = sum_by(accounts, [KEY], "available_balance", "available")
+    owed = loans.groupBy(KEY).agg(
+        F.sum("remaining_balance").alias("remaining"), F.count("*").alias("loan_rows")
+    )
+    total = F.col("available")
+    if add_loan_balance:
+        total = total + F.col("remaining")
+    elif fan_out:
+        total = total * F.col("loan_rows")
+    return owned.join(owed, KEY).select(KEY, total.alias(name))
 
 
 def total_exposure(
@@ -105,13 +108,13 @@ def high_balance_good_score(
     customers: DataFrame,
     balance: float = 100_000,
     score: int = SCORE_LIMIT,
-    per: str = "transaction",
+    per: str = "weighted",
 ) -> DataFrame:
     """Balances above ``balance`` of customers scoring above ``score`` who transact.
 
-    ``per="transaction"`` repeats an account once per transaction of its customer;
-    ``"account"`` gives it once; ``"weighted"`` gives it once with the number of
-    repetitions in ``copies``, which is all that counting or profiling needs.
+    ``per="weighted"`` gives an account once with the number of its customer's transactions in
+    ``copies``, which is all that counting or profiling needs; ``"account"`` gives it once;
+    ``"transaction"`` repeats it once per transaction.
     """
     rich = accounts.filter(F.col("available_balance") > balance)
     good = customers.filter(F.col("credit_score") > score).select(KEY, "credit_score")

@@ -6,6 +6,7 @@ that results compare across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from loanloom.functions.bands import CREDIT_BANDS, PRINCIPAL_BUCKETS
 from loanloom.plans.segments import ACTIVITY_RULES
 from loanloom.schemas import LOAN_TYPE_SYNONYMS
 from loanloom.session import shared_path
-from loanloom.sources import CSV_NULL, from_rows, load, preview, publish_view, run_sql, save
+from loanloom.sources import CSV_EXACT, from_rows, load, preview, publish_view, run_sql, save
 from loanloom.sources.star import Bank, open_bank
 
 Query = Callable[[Bank], DataFrame]
@@ -31,6 +32,11 @@ def query(f: Query) -> Query:
     return f
 
 
+def _fresh(name: str) -> str:
+    """A name of its own for each call, so that no query replaces what a session holds."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def comparable(df: DataFrame) -> DataFrame:
     casts = {T.DecimalType: "double", T.DateType: "string"}
     wanted = {f.name: casts.get(type(f.dataType)) for f in df.schema}
@@ -63,14 +69,15 @@ def active_loans_distinct(b: Bank) -> DataFrame:
 
 @query
 def active_loans_sql(b: Bank) -> DataFrame:
-    publish_view(b.customers, "customer_details")
-    publish_view(b.loans, "loan_info")
+    people, loans = _fresh("customer_details"), _fresh("loan_info")
+    publish_view(b.customers, people)
+    publish_view(b.loans, loans)
     return run_sql(
         b.spark,
-        """
+        f"""
         SELECT c.customer_id, c.first_name, c.last_name, l.loan_type, l.loan_status,
                l.principal_amount
-        FROM loan_info l JOIN customer_details c USING (customer_id)
+        FROM {loans} l JOIN {people} c USING (customer_id)
         WHERE l.loan_type = 'Home' AND l.loan_status = 'Active'
         """,
     )
@@ -158,7 +165,7 @@ def loan_type_from_rows(b: Bank) -> DataFrame:
 
 @query
 def auto_loan_balances(b: Bank) -> DataFrame:
-    loans = b.loans.withColumn("account_id", F.col("customer_id"))
+    loans = b.loans.withColumn("account_id", F.col("customer_id") * 10 + 1)
     return plans.auto_loan_balances(b.customers, loans, b.accounts)
 
 
@@ -254,7 +261,8 @@ def balance_over(b: Bank) -> DataFrame:
 
 @query
 def high_balance_good_score(b: Bank) -> DataFrame:
-    return plans.high_balance_good_score(b.accounts, b.transactions, b.customers)
+    tables = b.accounts, b.transactions, b.customers
+    return plans.high_balance_good_score(*tables, per="transaction")
 
 
 @query
@@ -681,7 +689,6 @@ def spine_enrich(b: Bank) -> DataFrame:
         {"customers": people, "loans": loans},
         "customer_id",
         250,
-        {"customers": ["customer_id"], "loans": ["loan_id"]},
         [F.col("available_balance").desc_nulls_last(), F.col("account_id")],
     )
 
@@ -708,11 +715,9 @@ def balance_stats(b: Bank) -> DataFrame:
 
 @query
 def row_count_check(b: Bank) -> DataFrame:
-    """Distinct loan ids are as many as loans, so the expected count is read from the data."""
-    counts = b.loans.agg(
-        F.countDistinct("loan_id").alias("expected_row_count"), F.count("*").alias("row_count")
-    )
-    return counts.withColumn("passed", F.col("row_count") == F.col("expected_row_count"))
+    """As many savings accounts as customers."""
+    savings = b.accounts.filter(F.col("account_type") == "Savings")
+    return op.check_row_count(savings, b.customers.count())
 
 
 # --- sinks ------------------------------------------------------------------------------
@@ -720,21 +725,24 @@ def row_count_check(b: Bank) -> DataFrame:
 
 @query
 def save_load_table(b: Bank) -> DataFrame:
-    save(
-        _segments(b, "latest"),
-        "loan_customer_transactions",
-        path=shared_path(b.spark, "segments"),
-    )
-    return load(b.spark, "loan_customer_transactions")
+    name = _fresh("loan_customer_transactions")
+    save(_segments(b, "latest"), name, path=shared_path(b.spark, "segments"))
+    return load(b.spark, name)
 
 
 @query
 def save_load_parquet(b: Bank) -> DataFrame:
-    """Monthly totals written by month, read back for one year: only its folders are read."""
+    """Monthly totals written by month and read back."""
     path = shared_path(b.spark, "ledger")
     volume = plans.monthly_channel_volume(b.ledger, "padded")
     save(volume, path, "parquet", partition_by=["month"])
-    return load(b.spark, path, "parquet", volume.schema).filter(F.col("month").like("1996-%"))
+    return load(b.spark, path, "parquet", volume.schema)
+
+
+@query
+def save_load_parquet_year(b: Bank) -> DataFrame:
+    """One year of them: only its folders are read."""
+    return save_load_parquet(b).filter(F.col("month").like("1996-%"))
 
 
 @query
@@ -742,4 +750,28 @@ def save_load_csv(b: Bank) -> DataFrame:
     path = shared_path(b.spark, "segments-csv")
     rows = _segments(b, "detail")
     save(rows, path, "csv", "errorifexists")
-    return load(b.spark, path, "csv", rows.schema, nullValue=CSV_NULL)
+    return load(b.spark, path, "csv", rows.schema, **CSV_EXACT)
+
+
+def _loans_as_csv(b: Bank) -> str:
+    path = shared_path(b.spark, "loans-csv")
+    columns = ["loan_id", "customer_id", "loan_type", "loan_status", "start_date", "tenure_months"]
+    save(b.loans.select(*columns), path, "csv", "errorifexists")
+    return path
+
+
+@query
+def load_csv_text(b: Bank) -> DataFrame:
+    """A CSV file read without a schema: every column is text."""
+    return load(b.spark, _loans_as_csv(b), "csv").drop("tenure_months")
+
+
+@query
+def load_csv_inferred(b: Bank) -> DataFrame:
+    """A CSV file read with guessed types: numbers add up and dates compare."""
+    loans = load(b.spark, _loans_as_csv(b), "csv", infer=True)
+    return loans.groupBy("loan_status").agg(
+        F.sum("loan_id").alias("ids"),
+        F.min("start_date").cast("date").alias("first_start"),
+        F.sum("tenure_months").alias("months"),
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -16,10 +17,20 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Months and days are those of UTC, whatever the cluster's clock.
+    "spark.sql.session.timeZone": "UTC",
 }
 
-TARGET_PARTITION_BYTES = 128 << 20
+# Read when a session starts, so :func:`configure` can only check them.  Above 2,000 shuffle
+# partitions map tasks report average block sizes, and a skewed partition looks like any other,
+# unless blocks far above the median are reported exactly.
+START_CONF = {"spark.shuffle.accurateBlockSkewedFactor": "5.0"}
+MANY_PARTITIONS = 2_000
+
+# Input for one partition of a shuffle, and partitions at most: map tasks times partitions is
+# what a shuffle has to index.
+TARGET_PARTITION_BYTES = 1 << 30
+MOST_PARTITIONS = 20_000
 
 _local_scratch: str | None = None
 
@@ -28,13 +39,24 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
     """Apply :data:`RUNTIME_CONF`; with ``input_bytes`` also size the first shuffle.
 
     The initial partition count is an upper bound that adaptive execution coalesces
-    downwards, so it is sized for the unaggregated input.
+    downwards: one for every :data:`TARGET_PARTITION_BYTES` that reach the shuffle, never fewer
+    than the session's own number and never more than :data:`MOST_PARTITIONS`.  Warns when it is
+    so large that skew cannot be seen without :data:`START_CONF`.
     """
     for name, value in RUNTIME_CONF.items():
         spark.conf.set(name, value)
     if input_bytes is not None:
-        wanted = max(1, -(-input_bytes // TARGET_PARTITION_BYTES))
+        own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = max(own, min(MOST_PARTITIONS, -(-input_bytes // TARGET_PARTITION_BYTES)))
         spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+        if wanted > MANY_PARTITIONS:
+            for name in START_CONF:
+                if float(spark.conf.get(name, "-1")) <= 0:
+                    warnings.warn(
+                        f"start the session with {name}: with {wanted} partitions skewed ones "
+                        "are not found without it",
+                        stacklevel=2,
+                    )
     return spark
 
 
@@ -47,7 +69,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         global _local_scratch
         if _local_scratch is None:

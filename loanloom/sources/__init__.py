@@ -1,5 +1,6 @@
 from loanloom.sources.scenarios import load_scenarios, scenario_tables
 from loanloom.sources.tables import (
+    CSV_EXACT,
     CSV_NULL,
     constant_row,
     from_rows,
@@ -11,6 +12,7 @@ from loanloom.sources.tables import (
 )
 
 __all__ = [
+    "CSV_EXACT",
     "CSV_NULL",
     "constant_row",
     "from_rows",

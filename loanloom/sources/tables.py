@@ -10,6 +10,15 @@ from pyspark.sql import types as T
 # Read option ``nullValue`` that keeps a quoted empty text apart from an empty cell, which
 # Spark otherwise reads as null, both.
 CSV_NULL = "\u0000"
+# How :func:`save` writes text, and options with which any text comes back as it was: blanks at
+# the ends, quotes, backslashes and line breaks.  With line breaks inside cells a file is read as
+# a whole, so exports should consist of many files rather than few large ones.
+CSV_TEXT = {
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "escape": '"',
+}
+CSV_EXACT = CSV_TEXT | {"multiLine": True, "nullValue": CSV_NULL}
 
 
 def load(
@@ -72,7 +81,7 @@ def save(
     """Write a managed table (external with ``path``) or files under a path.
 
     ``mode="errorifexists"`` refuses to replace earlier output.  CSV gets a header line and
-    an empty cell for null.  Tables that are joined again on the same key can be bucketed
+    an empty cell for null; ``load`` with ``CSV_EXACT`` reads it back without loss.  Tables that are joined again on the same key can be bucketed
     on it, which saves those joins their shuffle; ``partition_by`` lets later reads prune,
     and rows are rebalanced on those columns first: whole files, hot values split.
     """
@@ -91,7 +100,7 @@ def save(
     if bucket_by is not None:
         raise ValueError("only tables can be bucketed")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).options(**CSV_TEXT)
     writer.format(fmt).save(target)
 
 

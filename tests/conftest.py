@@ -40,7 +40,7 @@ def spark(tmp_path_factory):
 
 def _customer(key, score, kyc="Verified", first="Ann", last="Lee"):
     mail = f"{first.lower()}.{last.lower()}@mail.com" if first else None
-    return (key, first, last, mail, "5551234595", date(1980, 1, 2), kyc, score, date(2020, 1, 1))
+    return (key, first, last, mail, "5550987162", date(1980, 1, 2), kyc, score, date(2020, 1, 1))
 
 
 def _loan(key, owner, principal, kind="Home", status="Active", left="1000.50"):

@@ -164,16 +164,15 @@ def test_row_count_checks(bank):
         op.assert_rows(bank.accounts, 6)
 
 
-def test_spine_enrich_samples_each_table(bank):
+def test_spine_enrich_joins_whole_tables(bank):
     got = op.spine_enrich(
         bank.accounts.select("account_id", "customer_id"),
         {"people": bank.customers.select("customer_id", "credit_score")},
         "customer_id",
         3,
-        {"people": ["customer_id"]},
         ["account_id"],
     )
-    assert tuples(got, "account_id", "credit_score") == [("A1", 300), ("A2", None), ("A3", None)]
+    assert tuples(got, "account_id", "credit_score") == [("A1", 300), ("A2", 651), ("A3", 651)]
 
 
 def test_distinct_and_union_sizes(bank):

@@ -138,10 +138,10 @@ def test_balances_are_strict(bank):
 
 def test_high_balance_forms_agree(bank):
     args = (bank.accounts, bank.transactions, bank.customers)
-    rows = plans.high_balance_good_score(*args)
+    rows = plans.high_balance_good_score(*args, per="transaction")
     assert tuples(rows) == [("C651", Decimal("100000.01"), 651)] * 3
     assert plans.high_balance_good_score(*args, per="account").count() == 1
-    weighted = plans.high_balance_good_score(*args, per="weighted")
+    weighted = plans.high_balance_good_score(*args)
     assert tuples(op.dq_profile(rows, "available_balance")) == tuples(
         op.dq_profile(weighted, "available_balance", weight="copies")
     )

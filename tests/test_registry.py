@@ -7,6 +7,7 @@ keys count as hot from a few rows on.
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 import pytest
@@ -105,6 +106,29 @@ def test_query_equals_sql_on_skewed_tables(spark, skewed, name, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_the_account_key_tells(spark, other_engine):
+    """Accounts of both kinds are reached, and joining on the customer gives something else."""
+    found = QUERIES["volume_by_account_type"](spark, str(FOLDER)).collect()
+    assert {r["account_type"] for r in found} == {"Savings", "Current"}
+    right = other_engine.execute(SQL["auto_loan_balances"]).fetchall()
+    wrong = SQL["auto_loan_balances"].replace("l.customer_id * 10 + 1", "l.customer_id")
+    assert right and sorted(right) != sorted(other_engine.execute(wrong).fetchall())
+
+
+def test_every_enriched_row_finds_its_customer(spark):
+    rows = QUERIES["spine_enrich"](spark, str(FOLDER))
+    people = spark.read.parquet(str(FOLDER / "customer.parquet")).selectExpr(
+        "c_custkey AS customer_id"
+    )
+    assert rows.join(people, "customer_id").where("email IS NULL").isEmpty()
+
+
+def test_score_filters_say_nothing_about_keys(spark):
+    for name in ("high_risk_exposure", "high_risk_total"):
+        plan = QUERIES[name](spark, str(FOLDER))._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"(custkey|suppkey)#\d+L? \*", plan)
+
+
 def test_entry_runs(spark):
     df = contract.entry(spark)
     assert df.count() > 0 and "upi_inclined_flag" in df.columns

@@ -131,7 +131,7 @@ def test_fan_out_cuts_the_hot_customer(spark, big):
 
 @pytest.mark.parametrize("hot_rows", [500, 1_000_000])
 def test_detail_counts_transactions_once(spark, big, monkeypatch, hot_rows):
-    """Counts for the flag and sizes for the cut come from the same shuffle."""
+    """However the hot keys are found, no table is scanned again in the plan that runs."""
     monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
     with conf(spark, **NO_BROADCAST):
         df = plans.loan_customer_segments(
@@ -163,7 +163,21 @@ def test_fan_out_broadcasts_only_the_bounded_key_list(spark, big):
             big.customers, big.loans, big.transactions, attach="detail"
         )
         broadcasts = plan_text(df).split("BroadcastExchange")[1:]
-        assert broadcasts and all("TakeOrderedAndProject(limit=10000" in b for b in broadcasts)
+        assert broadcasts and all("__parts" in b and "HashAggregate" in b for b in broadcasts)
+
+
+@pytest.mark.parametrize("most", [10, 1_000_000])
+def test_all_keys_above_the_share_are_cut(spark, monkeypatch, most):
+    """No list of largest keys: 12,000 hot keys are cut as well as one."""
+    monkeypatch.setattr(joins, "MOST_HOT_KEYS", most)
+    detail = spark.range(36_000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 12_000).alias("k"),
+        F.col("id").alias("detail_id"),
+    )
+    base = spark.range(-1, 12_000).select(F.col("id").alias("k"))
+    got = op.fan_out(base, detail, "k", "detail_id", "left", hot_rows=1)
+    plain = base.join(detail, "k", "left")
+    assert got.exceptAll(plain).isEmpty() and got.count() == plain.count()
 
 
 def test_segments_split_a_customer_with_very_many_loans(spark, big):
@@ -223,12 +237,6 @@ def test_hot_keys_are_aggregated_before_the_shuffle(spark, big):
         for df in (
             plans.flagged_borrower_volume(big.transactions, big.loans),
             plans.flagged_borrower_volume(big.transactions, big.loans, fan_out=True),
-            plans.high_risk_exposure(
-                big.customers,
-                big.loans.withColumnRenamed("principal_amount", "available_balance"),
-                big.loans,
-                fan_out=True,
-            ),
         ):
             text = plan_text(df)
             below = [part for part in text.split("Exchange hashpartitioning")[1:]]
@@ -236,6 +244,22 @@ def test_hot_keys_are_aggregated_before_the_shuffle(spark, big):
             assert scans == len(below)
 
 
+def test_exposure_groups_only_what_risky_customers_own(spark, big):
+    accounts = big.loans.withColumnRenamed("principal_amount", "available_balance")
+    with conf(spark, **NO_BROADCAST):
+        for fan_out in (True, False):
+            df = plans.high_risk_exposure(big.customers, accounts, big.loans, fan_out=fan_out)
+            text = plan_text(df)
+            assert text.count("LeftSemi") == 2
+            for part in text.split("LeftSemi")[1:]:
+                assert "HashAggregate" not in part.split("FileScan")[0]
+
+
+def test_unique_customers_need_one_scan(spark, big):
+    df = plans.monthly_channel_volume(big.transactions, customer="customer_id")
+    assert plan_text(df).count("FileScan") == 1
+
+
 def test_filters_and_columns_reach_the_scan(spark, big):
     with conf(spark, spark__sql__maxMetadataStringLength="1000"):
         text = plan_text(plans.active_loan_customers(big.customers, big.loans))

@@ -7,8 +7,9 @@ from pyspark.errors import AnalysisException
 from loanloom import plans
 from loanloom.operators import assert_rows
 from loanloom.schemas import ACCOUNT_BALANCES, CUSTOMER_DETAILS
-from loanloom.session import RUNTIME_CONF, configure, shared_path
+from loanloom.session import MOST_PARTITIONS, RUNTIME_CONF, configure, shared_path
 from loanloom.sources import (
+    CSV_EXACT,
     CSV_NULL,
     constant_row,
     from_rows,
@@ -58,6 +59,17 @@ def test_empty_and_null_text_survive_csv(spark, bank):
     )
 
 
+TEXTS = [" Shop A ", "Line1\nLine2", "two\r\nlines", 'say "x"', "back\\slash", '\\"', ",", "", None]
+
+
+def test_any_text_survives_csv(spark):
+    path = shared_path(spark, "csv-text")
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "id int, note string")
+    save(rows, path, "csv")
+    back = load(spark, path, "csv", rows.schema, **CSV_EXACT)
+    assert sorted(back.collect()) == sorted(rows.collect())
+
+
 def test_save_modes(spark, bank):
     save(bank.accounts, "saved_accounts")
     save(bank.accounts.limit(2), "saved_accounts", mode="overwrite")
@@ -157,7 +169,13 @@ def test_configure_sizes_the_first_shuffle(spark):
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     try:
         configure(spark, input_bytes=10 << 40)
-        assert spark.conf.get(name) == "81920"
+        assert spark.conf.get(name) == "10240"
+        configure(spark, input_bytes=100 << 40)
+        assert spark.conf.get(name) == str(MOST_PARTITIONS)
+        with pytest.warns(UserWarning, match="accurateBlockSkewedFactor"):
+            configure(spark, input_bytes=100 << 40)
+        configure(spark, input_bytes=1)
+        assert spark.conf.get(name) == spark.conf.get("spark.sql.shuffle.partitions")
         assert all(spark.conf.get(k) == v for k, v in RUNTIME_CONF.items())
     finally:
         spark.conf.unset(name)
