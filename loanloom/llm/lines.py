@@ -3,8 +3,9 @@
 Two lines within k edits agree exactly on one of k + 1 segments of the shorter one, at a place
 that the lengths and the segment's number bound.  So every distinct line is indexed by its k + 1
 segments and probes the index with the substrings that could be a segment of a line as long or
-up to k shorter; what meets is verified by a bit-parallel edit distance over the band of
-diagonals that k edits can reach.
+up to k shorter.  Of many more, smaller segments k edits leave all but k in place too, so what
+meets has to have those in common; what is left is verified by a bit-parallel edit distance over
+the band of diagonals that k edits can reach.
 
 Segments that many lines share are refined: within such a key the rest of the line, without the
 segment, is again within k edits of the other's rest, so the same partition applies to it.
@@ -24,6 +25,8 @@ from .texts import written
 EDITS = 2
 #: Shorter lines (in code points) are no candidates and stay: a short line says little.
 LEAST_CHARS = 20
+#: Small segments of which all but ``edits`` have to be in place before a pair is verified.
+SMALL = 16
 #: Index entries of a key from which it is refined, and how often at most.  Neither drops a pair.
 CROWDED, DEPTH = 64, 3
 #: Bits of the table of documents, 64 to a row.
@@ -185,6 +188,17 @@ def _maybe_in(df: DataFrame, key: Column, table: DataFrame) -> DataFrame:
     )
 
 
+def _mostly_in_place(short: Column, long: Column, edits: int) -> Column:
+    """Whether all but ``edits`` of the small segments stand at most ``edits`` from their place."""
+    n = F.length(short)
+    found = F.lit(0)
+    for k in range(SMALL):
+        start, end = F.floor(n * k / SMALL).cast("int"), F.floor(n * (k + 1) / SMALL).cast("int")
+        near = F.substring(long, F.greatest(start - edits, F.lit(0)) + 1, end - start + 2 * edits)
+        found = found + (F.instr(near, F.substring(short, start + 1, end - start)) > 0).cast("int")
+    return found >= SMALL - edits
+
+
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """``x``, ``y``: ids of all pairs of different ``lines(id, line)`` within ``edits``."""
     parts = lines.select("id", F.lit(0).cast("long").alias("path"), F.col("line").alias("part"))
@@ -199,11 +213,13 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     swapped = F.length("left") > F.length("right")
     short = F.when(swapped, F.col("right")).otherwise(F.col("left"))
     long = F.when(swapped, F.col("left")).otherwise(F.col("right"))
-    chars = lambda c: F.split(c, "")
+    letters = F.struct(*[F.split(c, "").alias(c) for c in ("short", "long")])
     return (
         both.where(apart <= edits)
-        .select("x", "y", chars(short).alias("short"), chars(long).alias("long"))
-        .where(within_edits(F.col("short"), F.col("long"), edits))
+        .select("x", "y", short.alias("short"), long.alias("long"))
+        .where(_mostly_in_place(F.col("short"), F.col("long"), edits))
+        # Bound, so that the characters are split once a pair and not once a column.
+        .where(_bind(letters, lambda s: within_edits(s["short"], s["long"], edits)))
         .select("x", "y")
     )
 
