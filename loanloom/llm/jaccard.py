@@ -4,7 +4,8 @@ A document is the set of its word shingles.  Texts with the same set collapse to
 before anything else.  The shingles of a class are hashed into groups; the counts of the groups
 are a point, and the sum of the smaller counts of two points, coordinate by coordinate, is at
 least the number of shingles they share.  That bounds a pair of points from their counts alone,
-and a pair of R-tree boxes from the largest counts in them.
+and a pair of R-tree boxes from the largest counts in them.  Boxes hold a fixed number of groups;
+a pair that is left meets once more on points with groups in proportion to the set.
 
 A link at similarity t also needs a common shingle among the first ``n - ceil(t n) + 1`` of each
 side in any fixed order.  Classes with one such shingle are a page, and only points of a page
@@ -33,10 +34,9 @@ from .texts import bit_table, connected, gather, in_table, written
 SHINGLE = 4
 #: Two sets link when PARTS[0] * shared >= PARTS[1] * union: similarity 0.85.
 PARTS = (100, 85)
-#: Groups that shingles are hashed into; a count of FULL stands for that many or more.
-GROUPS, FULL = 64, 255
-#: Shingles that are put last in the order, at most; the choice changes costs, never results.
-COMMON = 1 << 16
+#: Groups that shingles are hashed into, at least and at most for points of pairs; a count of
+#: FULL stands for that many or more.
+GROUPS, MOST_GROUPS, FULL = 64, 1 << 16, 255
 #: Points in a tile, in a box of the R-tree, and in a tree of several pages.
 TILE, NODE, TREE = 2048, 16, 1 << 16
 #: Low bits of a class key that hold the size of its set (or the largest number they can).
@@ -61,10 +61,21 @@ def _prefix(n: int, parts) -> int:
 
 
 def _point(own: np.ndarray) -> bytes:
-    counts = np.bincount(own & (GROUPS - 1), minlength=GROUPS)
+    """Counts of the shingles by hash, in as many groups as there are shingles or more."""
+    groups = min(MOST_GROUPS, max(GROUPS, 1 << max(0, len(own) - 1).bit_length()))
+    counts = np.bincount(own & (groups - 1), minlength=groups)
     return np.minimum(counts, FULL).astype(np.uint8).tobytes()
 
 
+def _fold(point: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The same counts in fewer groups."""
+    if len(point) == groups:
+        return point
+    folded = point.reshape(-1, groups).sum(axis=0, dtype=np.int64)
+    folded[(point == FULL).reshape(-1, groups).any(axis=0)] = FULL
+    return np.minimum(folded, FULL).astype(np.uint8)
+
+
 def _digest(own: np.ndarray) -> tuple[int, int]:
     digest = xxhash.xxh3_128_digest(own.tobytes())
     return tuple(int.from_bytes(digest[k : k + 8], "big", signed=True) for k in (0, 8))
@@ -82,23 +93,16 @@ def _emit_sets(batches, size):
         for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = shingles(text, size)
             a, b = _digest(own)
-            rows.append((doc, len(own), a, b, _key(a, len(own)), _point(own)))
+            point = _point(own)
+            coarse = _fold(np.frombuffer(point, np.uint8)).tobytes()
+            rows.append((doc, len(own), a, b, _key(a, len(own)), coarse, point))
         if rows:
             yield list(zip(*rows, strict=True))
 
 
-def _emit_common(batches, size):
-    """Shingles that a batch holds at least three times."""
-    for batch in batches:
-        parts = [shingles(t, size) for t in batch.column(0).to_pylist()]
-        if parts:
-            found, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield [found[n >= 3], n[n >= 3]]
-
-
-def _emit_prefixes(batches, size, parts, shared):
-    """The shingles of each class that a linked class may share, in the fixed order."""
-    common, rank = shared.value
+def _emit_prefixes(batches, size, parts, shared=None):
+    """The shingles of each class that a linked class may share: first those that are not in
+    the table of shared ones, then the others, by hash."""
     for batch in batches:
         keys, classes = [], []
         for text in batch.column(0).to_pylist():
@@ -106,13 +110,11 @@ def _emit_prefixes(batches, size, parts, shared):
             n = len(own)
             if n == 0 or parts[1] * (n + 1) > parts[0] * n:
                 continue  # a set with one shingle more would not link any more
-            order = np.zeros(n, np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                order = np.where(common[at] == own, rank[at], 0)
-            first = own[np.lexsort((own, order))][: _prefix(n, parts)]
-            keys.append(first)
-            classes.append(np.full(len(first), _key(_digest(own)[0], n)))
+            if shared is not None:
+                last = in_table(shared.value, own)
+                own = np.concatenate([own[~last], own[last]])
+            keys.append(own[: _prefix(n, parts)])
+            classes.append(np.full(len(keys[-1]), _key(_digest(np.sort(own))[0], n)))
         if keys:
             yield [np.concatenate(keys), np.concatenate(classes)]
 
@@ -183,17 +185,50 @@ def _points(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
 
 
-def _search(batches, parts):
-    """Pairs of different components within pages; rows come sorted by page."""
+def _by_pages(batches, work):
+    """``work`` on tables of whole pages; rows come sorted by page."""
     held: list = []
     for batch in batches:
         held.append(batch)
         if sum(b.num_rows for b in held) >= TREE:
             whole, held = _cut(held)
             if whole is not None:
-                yield _page_pairs(whole, parts)
+                yield work(whole)
     if held:
-        yield _page_pairs(_cut(held, last=True)[0], parts)
+        yield work(_cut(held, last=True)[0])
+
+
+def _pages(table) -> tuple[np.ndarray, np.ndarray]:
+    """The columns that make a page, and a number for the page of each row."""
+    pages = np.stack([table[n].to_numpy() for n in ("h", "first", "second")])
+    change = (pages[:, 1:] != pages[:, :-1]).any(axis=0)
+    return pages, np.concatenate([[0], change.cumsum()])
+
+
+def _star_pairs(table, parts) -> list:
+    """Every point of a page with the one nearest to the mean of the page."""
+    _, page = _pages(table)
+    ids, sizes, points = table["id"].to_numpy(), table["n"].to_numpy(), _points(table["point"])
+    starts = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]]))
+    counts = np.bincount(page)
+    mean = np.add.reduceat(points.astype(np.float32), starts) / counts[:, None]
+    away = np.abs(points - mean[page]).sum(axis=1)
+    first = np.lexsort((ids, away, page))[starts]  # sorting leaves the pages where they are
+    center = first[page]
+    good = (ids != ids[center]) & (parts[0] * np.minimum(sizes, sizes[center])
+                                   >= parts[1] * np.maximum(sizes, sizes[center]))
+    i = np.flatnonzero(good)
+    j = center[i]
+    near = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 14):
+        u, v = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        near[at : at + (1 << 14)] = _enough(points[u], points[v], sizes[u] + sizes[v], parts)
+    return _distinct(ids[i[near]], ids[j[near]])
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> list:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return [pairs[0], pairs[1]]
 
 
 def _cut(held: list, last: bool = False):
@@ -214,35 +249,41 @@ def _cut(held: list, last: bool = False):
 
 
 def _page_pairs(table, parts) -> list:
-    pages = np.stack([table[n].to_numpy() for n in ("h", "first", "second")])
-    page = np.concatenate([[0], (pages[:, 1:] != pages[:, :-1]).any(axis=0).cumsum()])
+    pages, page = _pages(table)
     ids, tile = table["id"].to_numpy(), table["tile"].to_numpy()
     component = table["component"].to_numpy()
     tree = RTree(page, _points(table["point"]), table["n"].to_numpy())
     i, j = tree.pairs(parts)
     across = (pages[1][i] == pages[2][i]) | (tile[i] != tile[j])
     good = across & (component[i] != component[j])
-    a, b = ids[i[good]], ids[j[good]]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return [pairs[0], pairs[1]]
+    return _distinct(ids[i[good]], ids[j[good]])
 
 
 def _keep_near(batches, parts):
-    """Pairs whose points pass the bound."""
+    """Pairs that pass the bound in all groups of the smaller point."""
     for batch in batches:
-        if batch.num_rows:
-            a, b, n, left, right = batch.columns
-            good = _enough(_points(left), _points(right),
-                           n.to_numpy(zero_copy_only=False), parts)
-            yield [a.filter(good), b.filter(good)]
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, parts) -> DataFrame:
+        keep = []
+        a, b, sizes, left, right = (c.to_pylist() for c in batch.columns)
+        for n, x, y in zip(sizes, left, right, strict=True):
+            x, y = (np.frombuffer(p, np.uint8) for p in (x, y))
+            groups = min(len(x), len(y))
+            x, y = _fold(x, groups), _fold(y, groups)
+            keep.append(bool(_enough(x[None], y[None], np.array([n]), parts)[0]))
+        at = np.flatnonzero(keep)
+        yield [batch.column(0).take(at), batch.column(1).take(at)]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, size: int, parts) -> DataFrame:
     """The ``pairs(a, b)`` of ids whose sets link.  Texts stay where they are: each task reads a
     bounded table of the ids wanted, and only sets of (about) those are shuffled."""
-    pairs = written(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    filled = bit_table(wanted)
+    end = lambda id_, n, point: points.select(
+        F.col("id").alias(id_), F.col("n").alias(n), F.col("fine").alias(point)
+    )
+    both = pairs.distinct().join(end("a", "n_a", "p_a"), "a").join(end("b", "n_b", "p_b"), "b")
+    both = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "p_a", "p_b")
+    near = gather(both, "a bigint, b bigint", lambda: partial(_keep_near, parts=parts))
+    pairs = written(near.distinct(), "pairs")
+    filled = bit_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     if filled is None:
         return pairs
     shared = pairs.sparkSession.sparkContext.broadcast(filled)
@@ -255,11 +296,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, parts) -> DataFrame
             part = batch.take(at)
             yield [part.column(0), [shingles(t, size) for t in part.column(1).to_pylist()]]
 
-    known = gather(texts, "id bigint, own array<bigint>", lambda: sets)
-    # Texts under one id that are the same set are one.
-    known = written(known.join(wanted, "id", "left_semi").distinct(), "sets")
-    both = pairs.join(known.select(F.col("id").alias("a"), F.col("own").alias("left")), "a").join(
-        known.select(F.col("id").alias("b"), F.col("own").alias("right")), "b"
+    known = written(gather(texts, "id bigint, own array<bigint>", lambda: sets), "sets")
+    both = pairs.join(known.select(F.col("id").alias("b"), F.col("own").alias("right")), "b").join(
+        known.select(F.col("id").alias("a"), F.col("own").alias("left")), "a"
     )
     shared_n = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - shared_n
@@ -278,15 +317,17 @@ def jaccard_groups(
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"),
                         F.col("text").cast("string").alias("text"))
-    fields = "id bigint, n bigint, a bigint, b bigint, key bigint, point binary"
+    fields = "id bigint, n bigint, a bigint, b bigint, key bigint, point binary, fine binary"
     sets = written(gather(texts, fields, lambda: partial(_emit_sets, size=size)), "shingles")
     used = sets.where("id IS NOT NULL AND n > 0")
     least = used.groupBy("a", "b").agg(F.min("id").alias("class_id"))
     member = written(
-        used.join(least, ["a", "b"]).select("id", "class_id", "key", "n", "point").distinct(),
+        used.join(least, ["a", "b"])
+        .select("id", "class_id", "key", "n", "point", "fine")
+        .dropDuplicates(["id", "class_id", "key"]),
         "members",
     )
-    classes = member.where("id = class_id").select("key", "id", "n", "point")
+    classes = member.where("id = class_id").select("key", "id", "n", "point", "fine")
     links = _links(texts.where("id IS NOT NULL"), classes, size, parts)
     # Ids with several texts hold their classes together.
     several = member.groupBy("id").agg(F.min("class_id").alias("low"),
@@ -299,7 +340,7 @@ def jaccard_groups(
     groups = connected(links.unionByName(several), "groups").select(
         F.col("id").alias("class_id"), F.col("component").alias("component_id")
     )
-    of_class = sets.drop("point").join(least, ["a", "b"], "left").withColumn(
+    of_class = sets.drop("point", "fine").join(least, ["a", "b"], "left").withColumn(
         "class_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id"))
     )
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "class_id")).otherwise(F.col("id"))
@@ -314,64 +355,56 @@ def jaccard_groups(
 def _links(texts: DataFrame, classes: DataFrame, size: int, parts) -> DataFrame:
     """Verified links between classes that connect whatever links connect."""
     spark = texts.sparkSession
-    rows = (
-        gather(texts.select("text"), "h bigint, n bigint",
-               lambda: partial(_emit_common, size=size))
-        .groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON)
-    ).toArrow()
-    common, rank = (rows[n].to_numpy() for n in ("h", "n"))
-    order = np.argsort(common)
-    shared = spark.sparkContext.broadcast((common[order], rank[order]))
-    make = lambda: partial(_emit_prefixes, size=size, parts=parts, shared=shared)
-    found = written(gather(texts.select("text"), "h bigint, key bigint", make), "prefixes")
-
-    pages = found.groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-    pages = pages.where("least <> most").select("h", "least")
-    entries = written(found.join(pages, "h").distinct(), "pages")
-
-    # First round: every member of a page against its least class.
-    n_of = lambda key: F.col(key).bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
-    full = (1 << SIZE_BITS) - 1
-    low, high = F.least(n_of("least"), n_of("key")), F.greatest(n_of("least"), n_of("key"))
-    stars = entries.where("least <> key").where((parts[0] * low >= parts[1] * high) | (high == full))
-    stars = stars.select("least", "key").distinct()
-    end = lambda key, id_, n, point: classes.select(
-        F.col("key").alias(key), F.col("id").alias(id_), F.col("n").alias(n),
-        F.col("point").alias(point),
-    )
-    stars = stars.join(end("least", "a", "n_a", "p_a"), "least").join(
-        end("key", "b", "n_b", "p_b"), "key"
-    )
-    stars = stars.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "p_a", "p_b")
-    near = gather(stars, "a bigint, b bigint", lambda: partial(_keep_near, parts=parts))
-    links = written(_verified(near.where("a <> b"), texts, size, parts), "links")
-    groups = connected(links, "stars")
+    fields = "h bigint, key bigint"
+
+    def prefixes(shared=None):
+        make = lambda: partial(_emit_prefixes, size=size, parts=parts, shared=shared)
+        return gather(texts.select("text"), fields, make)
+
+    def several(found):
+        pages = found.groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+        return pages.where("least <> most").select("h")
+
+    filled = bit_table(written(several(prefixes()), "seen"))
+    if filled is None:
+        return spark.createDataFrame([], "a bigint, b bigint")
+    found = written(prefixes(spark.sparkContext.broadcast(filled)), "prefixes")
+    entries = written(found.join(several(found), "h").distinct(), "pages")
 
-    # Second round: points of different components that share a page.
+    known = classes.select("key", "id", "n", "point", F.col("id").alias("component"))
+    make = lambda: partial(_by_pages, work=partial(_star_pairs, parts=parts))
+    stars = gather(_open_pages(entries, known, across=False), "a bigint, b bigint", make)
+    links = written(_verified(stars, texts, classes, size, parts), "links")
+
+    groups = connected(links, "stars")
     known = written(
-        classes.join(groups, "id", "left").withColumn(
+        known.drop("component").join(groups, "id", "left").withColumn(
             "component", F.coalesce("component", "id")
         ),
         "classes",
     )
-    marked = entries.select("h", "key").join(known, "key")
-    open_pages = marked.groupBy("h").agg(
+    make = lambda: partial(_by_pages, work=partial(_page_pairs, parts=parts))
+    pairs = gather(_open_pages(entries, known, across=True), "a bigint, b bigint", make)
+    return links.unionByName(_verified(pairs, texts, classes, size, parts))
+
+
+def _open_pages(entries: DataFrame, known: DataFrame, across: bool) -> DataFrame:
+    """The points of pages with several components, sorted by page; a large page is cut into
+    tiles, which also meet each other with ``across``."""
+    marked = entries.join(known, "key")
+    pages = marked.groupBy("h").agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
-        F.min("n").alias("small"), F.max("n").alias("large"), F.count("*").alias("count"),
+        F.count("*").alias("count"),
     ).where("low <> high").select("h", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    tiled = marked.join(open_pages, "h").withColumn(
+    tiled = marked.join(pages, "h").withColumn(
         "tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     )
-    meeting = tiled.withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    ).select(
+    every = F.sequence(F.lit(0), F.col("tiles") - 1) if across else F.array("tile")
+    page = ["h", "first", "second"]
+    return tiled.withColumn("other", F.explode(every)).select(
         "h", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"),
         "tile", "id", "n", "component", "point",
-    )
-    page = ["h", "first", "second"]
-    sorted_pages = meeting.repartition(*page).sortWithinPartitions(*page)
-    pairs = gather(sorted_pages, "a bigint, b bigint", lambda: partial(_search, parts=parts))
-    return links.unionByName(_verified(pairs, texts, size, parts))
+    ).repartition(*page).sortWithinPartitions(*page)
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, parts: tuple[int, int] = PARTS) -> DataFrame:
@@ -380,15 +413,18 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, parts: tuple[int, int] = PART
     Of several rows with that id the one with the least text stays.  Rows without shingles or
     without an id all stay.
     """
-    groups = jaccard_groups(docs, size, parts).where("doc_id IS NOT NULL AND n_shingles > 0")
+    groups = jaccard_groups(docs, size, parts).where("doc_id IS NOT NULL")
+    least = F.min(F.when(F.col("n_shingles") > 0, F.col("component_id"))) == F.col("doc_id")
     by_id = written(
         groups.groupBy("doc_id").agg(
-            (F.min("component_id") == F.col("doc_id")).alias("least"),
+            F.coalesce(least, F.lit(True)).alias("least"),
             (F.count("*") > 1).alias("several"),
         ).where("several OR NOT least"),
         "kept",
     )
-    left = docs.join(by_id, "doc_id", "left_anti")
+    left = docs.join(by_id, "doc_id", "left_anti").select(*docs.columns)
+    if by_id.where("several").isEmpty():
+        return left
     again = docs.join(by_id.where("several AND least"), "doc_id", "left_semi")
     blank = ~F.coalesce("text", F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
     rest = again.where(~blank).groupBy("doc_id").agg(

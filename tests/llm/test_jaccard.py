@@ -111,14 +111,17 @@ def test_tree_finds_all_pairs_that_pass_the_bound():
 def test_bound_never_loses_a_link():
     rng = np.random.default_rng(1)
     for _ in range(300):
-        n = rng.integers(6, 400)
+        n = rng.integers(6, 2000)
         a = np.unique(rng.integers(-(2**62), 2**62, n))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.08],
                                       rng.integers(-(2**62), 2**62, max(1, n // 15))]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
-            p, q = (np.frombuffer(jaccard._point(x), np.uint8)[None] for x in (a, b))
-            assert _enough(p, q, np.array([len(a) + len(b)]), (100, 85))[0]
+            p, q = (np.frombuffer(jaccard._point(x), np.uint8) for x in (a, b))
+            for groups in (64, min(len(p), len(q))):
+                x, y = (jaccard._fold(z, groups)[None] for z in (p, q))
+                assert x.sum() == len(a) and y.sum() == len(b)
+                assert _enough(x, y, np.array([len(a) + len(b)]), (100, 85))[0]
 
 
 def test_components(spark):
