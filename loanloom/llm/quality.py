@@ -53,11 +53,11 @@ def _add_contexts(batches):
         parts = [_buckets(t) for t in batch.column(0).to_pylist()]
         own = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         words = np.concatenate(parts) if parts else own
-        for start in range(0, len(words), _STEP * 8):
-            seen = words[start : start + _STEP * 8 + NEIGHBOURS]
-            doc = own[start : start + _STEP * 8 + NEIGHBOURS]
+        for start in range(0, len(words), _STEP * 4):
+            seen = words[start : start + _STEP * 4 + NEIGHBOURS]
+            doc = own[start : start + _STEP * 4 + NEIGHBOURS]
             for gap in range(1, NEIGHBOURS + 1):
-                last = min(_STEP * 8, len(seen) - gap)
+                last = min(_STEP * 4, len(seen) - gap)
                 together = np.flatnonzero(doc[:last] == doc[gap : gap + last]) if last > 0 else []
                 if not len(together):
                     continue

@@ -62,6 +62,7 @@ def map_texts(
                 columns = kernel(part.column(1).to_pylist())
                 arrays = [pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=names)
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     return packed.mapInArrow(run, schema)
 
@@ -84,11 +85,12 @@ def gather(
         for columns in make()(cut):
             arrays = [pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that Python strings of at most about ``most`` bytes exist at a time."""
     rows = batch.num_rows
     parts = max(1, min(rows, -(-batch.column(batch.num_columns - 1).nbytes // most)))
