@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loanloom.llm import decontaminate as benchmark
 from loanloom.llm import jaccard, lines, mixing, quality
-from loanloom.llm.queries import TARGETS, domains_of
+from loanloom.llm.queries import domains_of
 from loanloom.llm.texts import table, written
 
 
@@ -32,13 +32,15 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates by domain; documents of which no copy is wanted go.
+    """Toxic documents go, and the others fill their room; no other document loses a copy.
 
-    The mix is sized so that the clean share alone has room for all tokens there are: clean
-    documents get rates of one or more.
+    Junk has been judged by the quality stage, so what it left is not weighed against clean
+    documents again: every document that is not most likely toxic gets a rate of one or more.
     """
+    labels = domains_of(table(spark, sf_dir, "labels"))
+    domain = F.when(F.col("domain") == "toxic", "toxic").otherwise("kept")
     found = mixing.mix(
-        docs, domains_of(table(spark, sf_dir, "labels")), TARGETS, epochs=1 / TARGETS["clean"]
+        docs, labels.withColumn("domain", domain), {"kept": 1.0, "toxic": 0.0}, kept=("kept",)
     )
     return found.where("copies > 0").select(
         *[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "n_tokens", "rate", "copies"

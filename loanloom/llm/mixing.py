@@ -7,7 +7,8 @@
    summed over rate * tokens * posterior, come to its target.  Gradient steps add up before they
    are projected (dual averaging), so a rate is max(0, 1 - posteriors . total step) at any time
    and a step needs one sum per domain from the cluster.  Documents with equal (rounded)
-   posteriors share their rate, so the sums run over such cells.
+   posteriors share their rate, so the sums run over such cells.  Documents whose likeliest
+   domain is to be kept have 1 as their least rate instead of 0.
 4. A rate says how often a document is wanted: whole copies, and one more with the rest as its
    probability, drawn by hash.
 """
@@ -78,6 +79,9 @@ class Classifier:
         seen = written(seen, "tokens")
         self.indicators = []
         for name, size in zip(names, self.sizes, strict=True):
+            if not size:
+                self.indicators.append([])
+                continue
             inside = (F.col(name) + 0.5) / (size + 1.0)
             outside = (F.col("n") - F.col(name) + 0.5) / (total - size + 1.0)
             speaks = F.col(name) * F.log(inside / outside)
@@ -107,10 +111,14 @@ class Classifier:
         ]
 
     def _scores(self, levels: Column) -> Column:
-        """Log-probabilities in the order of the domains, but for a constant."""
+        """Log-probabilities in the order of the domains, but for a constant; null for those that
+        no label teaches."""
         total, count = sum(self.sizes), len(self.domains)
         scores = []
         for k, size in enumerate(self.sizes):
+            if not size:
+                scores.append(F.lit(None).cast("double"))
+                continue
             score = F.lit(math.log((size + 1) / (total + count)))
             for s in range(count):
                 table = F.array(*[F.lit(x) for x in self.levels[s][k]])
@@ -124,19 +132,34 @@ class Classifier:
         df = df.withColumn("levels", levels).withColumn("scores", self._scores(F.col("levels")))
         top = F.array_max("scores")
         odds = df.withColumn("odds", F.transform("scores", lambda s: F.exp(s - top)))
-        whole = F.aggregate("odds", F.lit(0.0), lambda a, b: a + b)
-        return odds.withColumn(
-            "p", F.transform("odds", lambda o: F.round(o / whole, DECIMALS))
-        ).drop("levels", "scores", "odds")
+        # A domain without labels has its prior whatever the text, the others share the rest.
+        prior = [(n + 1) / (sum(self.sizes) + len(self.domains)) for n in self.sizes]
+        taught = [k for k, n in enumerate(self.sizes) if n]
+        rest = sum(prior[k] for k in taught)
+        whole = reduce(lambda a, b: a + b, [F.get("odds", F.lit(k)) for k in taught], F.lit(0.0))
+        p = [
+            F.get("odds", F.lit(k)) / whole * rest if n else F.lit(prior[k])
+            for k, n in enumerate(self.sizes)
+        ]
+        return odds.withColumn("p", F.transform(F.array(*p), lambda x: F.round(x, DECIMALS))).drop(
+            "levels", "scores", "odds"
+        )
 
 
-def rate(p: Column, step: list[float]) -> Column:
-    """The rate of posteriors ``p`` after gradient steps that add up to ``step``."""
+def rate(p: Column, step: list[float], kept: tuple[int, ...] = ()) -> Column:
+    """The rate of posteriors ``p`` after gradient steps that add up to ``step``: at least 1 where
+    one of the domains ``kept`` is (as) likely as any, else at least 0."""
     along = reduce(lambda a, b: a + b, [F.get(p, F.lit(k)) * x for k, x in enumerate(step)])
-    return F.greatest(F.lit(0.0), F.lit(1.0) - along)
+    least = F.lit(0.0)
+    if kept:
+        stays = F.greatest(*[F.get(p, F.lit(k)) for k in [*kept, kept[0]]]) >= F.array_max(p)
+        least = F.when(stays, 1.0).otherwise(0.0)
+    return F.greatest(least, F.lit(1.0) - along)
 
 
-def fit(cells: DataFrame, shares: list[float], epochs: float = 1.0) -> list[float]:
+def fit(
+    cells: DataFrame, shares: list[float], epochs: float = 1.0, kept: tuple[int, ...] = ()
+) -> list[float]:
     """The total step of projected-gradient least squares over ``cells(p, tokens)``.
 
     Targets are shares of ``epochs`` times all tokens.  Minimises the sum over domains of
@@ -162,7 +185,7 @@ def fit(cells: DataFrame, shares: list[float], epochs: float = 1.0) -> list[floa
     step = [0.0 for _ in domains]
     before = math.inf
     for _ in range(STEPS):
-        sums = cells.select("p", (F.col("tokens") * rate(F.col("p"), step)).alias("wanted")).agg(
+        sums = cells.select("p", (F.col("tokens") * rate(F.col("p"), step, kept)).alias("wanted")).agg(
             *[F.sum(F.col("wanted") * p(k)) for k in domains]
         )
         missed = [
@@ -183,6 +206,7 @@ def mix(
     targets: dict[str, float],
     epochs: float = 1.0,
     most_labelled: int = MOST_LABELLED,
+    kept: tuple[str, ...] = (),
 ) -> DataFrame:
     """``row`` (a struct of the columns of ``docs``), ``n_tokens``, ``p`` (posteriors in the order
     of the sorted domains), ``rate`` and ``copies``, one row per input row.
@@ -190,9 +214,11 @@ def mix(
     ``labels(doc_id, domain)`` may hold any domain; those without a target teach nothing, and of
     several labels of a document the least counts.  ``targets`` are shares of all tokens
     times ``epochs``.  Null and empty texts have no tokens and the domains' prior as
-    posteriors.  Domains that no label teaches are spread by the prior alone.
+    posteriors.  Domains that no label teaches are spread by the prior alone.  Documents whose
+    likeliest domain is one of ``kept`` get a rate of one or more, whatever the targets.
     """
     domains = sorted(targets)
+    staying = tuple(domains.index(d) for d in kept)
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     taught = (
         labels.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
@@ -215,8 +241,8 @@ def mix(
     cells = written(
         scored.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("tokens")), "cells"
     )
-    step = fit(cells, [targets[d] for d in domains], epochs)
+    step = fit(cells, [targets[d] for d in domains], epochs, staying)
     drawn = F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(1 << 20)) / float(1 << 20)
-    return scored.withColumn("rate", rate(F.col("p"), step)).withColumn(
+    return scored.withColumn("rate", rate(F.col("p"), step, staying)).withColumn(
         "copies", F.floor(F.col("rate") + drawn).cast("int")
     )

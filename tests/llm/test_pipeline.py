@@ -89,3 +89,29 @@ def test_sql_agrees(spark):
     engine.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
     expected = sorted(engine.execute(queries.OP1_SQL).fetchall())
     assert sorted(tuple(r) for r in queries.op1_topk(spark, folder).collect()) == expected
+
+
+@pytest.mark.parametrize("junk, toxic", [(0, 30), (2, 30), (0, 0)])
+def test_mix_keeps_clean_documents_when_junk_is_gone(spark, folder, junk, toxic):
+    """Domains that share their words, and next to no junk left to meet a target with."""
+    rng = random.Random(junk + toxic)
+    words = [f"w{chr(97 + k)}{chr(97 + j)}" for k in range(16) for j in range(16)]
+    docs, labels, kind = [], [], {}
+    for what, count, label in (("clean", 400, (1, 0)), ("junk", junk, (0, 0)), ("toxic", toxic, (1, 1))):
+        for _ in range(count):
+            doc = len(docs)
+            text = rng.choices(words, k=rng.randint(20, 80))
+            # A few clean documents hold a word of the toxic ones.
+            if what == "toxic" or rng.random() < 0.05:
+                text += ["vile", "awful"] if what == "toxic" else ["vile"]
+            docs.append((doc, " ".join(text), "en", "src", 1))
+            kind[doc] = what
+            if doc % 2:
+                labels.append((doc, *label))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    path = folder(labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = {r.doc_id: r for r in corpus_pipeline.mixed(spark, df, path).collect()}
+    for d, what in kind.items():
+        if what != "toxic":
+            assert d in found and found[d].rate >= 1 and found[d].copies >= 1, (what, d)
+    assert sum(kind[d] == "toxic" for d in found) <= 2
