@@ -115,3 +115,24 @@ def test_mix_keeps_clean_documents_when_junk_is_gone(spark, folder, junk, toxic)
         if what != "toxic":
             assert d in found and found[d].rate >= 1 and found[d].copies >= 1, (what, d)
     assert sum(kind[d] == "toxic" for d in found) <= 2
+
+
+def test_near_duplicates_from_four_fifths_on(spark):
+    """Pairs at, just above and just below a five-word similarity of 0.8."""
+    docs, linked = [], set()
+
+    def pair(words, other, near):
+        docs.extend([(len(docs), " ".join(words)), (len(docs) + 1, " ".join(other))])
+        if near:
+            linked.add(len(docs) - 1)
+
+    word = lambda pair, k: f"p{pair}w{k}"
+    for n, (more, near) in enumerate([(20, True), (24, True), (25, False)]):
+        base = [word(n, k) for k in range(100 + more)]
+        pair(base[:100], base, near)
+    for n, (size, near) in enumerate([(49, True), (52, True), (48, False)], 3):
+        base = [word(n, k) for k in range(size)]
+        pair(base, [*base[:24], "changed", *base[25:]], near)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()}
+    assert kept == {d for d, _ in docs} - linked
