@@ -17,8 +17,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that occur before, within two edits, go; so do documents that lose every line."""
-    return lines.keep_lines(docs)
+    """Lines that occur before, within two edits or (if short) exactly, go; so do documents that
+    lose every line."""
+    return lines.keep_lines(docs, short=True)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .texts import written
 
 EDITS = 2
-#: Shorter lines (in code points) are no candidates and stay: a short line says little.
+#: Shorter lines (in code points) are not compared within edits: a short line says little.  They
+#: stay, or go where they repeat exactly if asked.
 LEAST_CHARS = 20
 #: Small segments of which all but ``edits`` have to be in place before a pair is verified.
 SMALL = 16
@@ -225,14 +226,15 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS
+    docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, short: bool = False
 ) -> DataFrame:
     """Remove lines that occur before, exactly or within ``edits`` insertions, deletions and
     substitutions of code points.
 
     Before is a smaller ``doc_id`` or, in one document, a lower line; a text counts from its first
     occurrence, and lines are judged on the input.  Lines are what newlines separate; those with
-    fewer than ``least_chars`` code points stay.  Returns ``row`` (a struct of the input's
+    fewer than ``least_chars`` code points stay, unless with ``short`` they are not blank and occur
+    before exactly.  Returns ``row`` (a struct of the input's
     columns), ``n_lines``, ``n_removed`` and ``kept`` (the text that is left, null for null).
 
     Null and empty texts have no lines.  A null id counts as larger than any other.  Equal rows
@@ -244,9 +246,10 @@ def dedup_lines(
         F.xxhash64(F.col("row.text").cast("string")).alias("tag"),
         F.col("row.text").cast("string").alias("text"),
     )
+    compared = F.length("line") >= max(least_chars, edits + 1)
     lines = (
         keyed.select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .where(F.length("line") >= max(least_chars, edits + 1))
+        .where(compared | F.col("line").rlike("\\S") if short else compared)
         .withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit(1), "line")})
     )
     place = F.struct("doc", "at", "tag")
@@ -256,7 +259,7 @@ def dedup_lines(
         ),
         "lines",
     )
-    near = written(near_lines(known, edits), "near")
+    near = written(near_lines(known.where(compared), edits), "near")
     ids = known.select("id", "id2", "first")
     side = lambda n: ids.select(*[F.col(c).alias(c + n) for c in ids.columns])
     later = near.join(side("_x"), F.col("x") == F.col("id_x")).join(
@@ -299,10 +302,12 @@ def _without(text: str, gone: str) -> Column:
     return F.array_join(F.transform(keep, lambda k: F.get(lines, k)), "\n")
 
 
-def keep_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def keep_lines(
+    docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, short: bool = False
+) -> DataFrame:
     """The documents without repeated lines, columns unchanged; ``n_chars``, if there, follows the
     text.  Documents that lose every line go."""
-    found = dedup_lines(docs, edits, least_chars).where("n_removed < n_lines OR n_lines = 0")
+    found = dedup_lines(docs, edits, least_chars, short).where("n_removed < n_lines OR n_lines = 0")
     changed = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

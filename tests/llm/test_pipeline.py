@@ -136,3 +136,22 @@ def test_near_duplicates_from_four_fifths_on(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()}
     assert kept == {d for d, _ in docs} - linked
+
+
+def test_short_lines_that_repeat_go(spark):
+    """Exact repeats of any length but blank ones; short lines within two edits both stay."""
+    docs = [
+        (1, "Menu\n\n \nHome\nfirst of the longer lines"),
+        (2, "Menu\n\n \nHomes\nMenu\nx\nfirst of the longer linez"),
+        (3, "x"),
+        (4, "\n"),
+        (5, "é" * 19 + "\nown words\n" + "é" * 19),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.text for r in corpus_pipeline.new_lines(spark, df, "").collect()}
+    assert found == {
+        1: docs[0][1],
+        2: "\n \nHomes\nx",
+        4: "\n",
+        5: "é" * 19 + "\nown words",
+    }
