@@ -6,7 +6,7 @@
 3. Nonnegative rates are fitted by projected gradient so that the expected tokens of each domain,
    summed over rate * tokens * posterior, come to its target.  Gradient steps add up before they
    are projected (dual averaging), so a rate is max(0, 1 - posteriors . total step) at any time
-   and a step needs one sum per domain from the cluster.  Documents with equal (rounded)
+   and a step needs one sum per domain from the cluster.  Documents with equal
    posteriors share their rate, so the sums run over such cells.  Documents whose likeliest
    domain is to be kept have 1 as their least rate instead of 0.
 4. A rate says how often a document is wanted: whole copies, and one more with the rest as its
@@ -28,10 +28,9 @@ MOST_LABELLED = 20_000
 #: Tokens kept for each domain, in how many labelled documents they are at least, and how many
 #: times likelier in the domain's documents than in others.
 INDICATORS, LEAST_DOCUMENTS, LEAST_RATIO = 256, 3, 4.0
-#: Numbers of indicators are told apart up to here, by powers of two.
+#: Numbers of indicators are told apart up to here, by powers of two.  Posteriors follow from them
+#: alone, so three domains give at most LEVELS ** 3 cells.
 LEVELS = 8
-#: Decimals of posteriors: three domains give at most 5151 cells.
-DECIMALS = 2
 #: Steps at most; targets count as met so close, and steps as useless with so small a gain.
 STEPS, CLOSE, GAIN = 100, 1e-5, 0.005
 
@@ -141,9 +140,7 @@ class Classifier:
             F.get("odds", F.lit(k)) / whole * rest if n else F.lit(prior[k])
             for k, n in enumerate(self.sizes)
         ]
-        return odds.withColumn("p", F.transform(F.array(*p), lambda x: F.round(x, DECIMALS))).drop(
-            "levels", "scores", "odds"
-        )
+        return odds.withColumn("p", F.array(*p)).drop("levels", "scores", "odds")
 
 
 def rate(p: Column, step: list[float], kept: tuple[int, ...] = ()) -> Column:

@@ -79,6 +79,18 @@ def test_brute_force_gradient_steps(spark, corpus):
     assert np.abs((n * rate) @ p / total - want).max() < 0.01
 
 
+def test_small_posteriors_count(spark, corpus):
+    """A domain that is unlikely everywhere keeps its tokens and its target."""
+    docs, labels, _ = corpus
+    known = queries.domains_of(labels).where("domain <> 'junk'")
+    rows = mix(docs, known, {"clean": 0.9, "junk": 0.1, "toxic": 0.0}).collect()
+    p = np.array([r.p for r in rows])
+    assert (p > 0).all() and np.allclose(p.sum(axis=1), 1, atol=1e-9)
+    prior = 1 / (known.count() + 3)
+    assert prior < 0.005 and np.allclose(p[:, 1], prior)
+    assert len({r.rate for r in rows}) > 1
+
+
 def test_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, domain string")
     found = mix(odd, none, {"a": 0.5, "b": 0.5}).collect()
