@@ -84,7 +84,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Shares of tokens by domain that op5 and the pipeline mix to.
+#: Shares of tokens by domain that op5 mixes to.
 TARGETS = {"clean": 0.95, "junk": 0.05, "toxic": 0.0}
 
 
