@@ -16,6 +16,8 @@ from .substrings import dedup_substrings
 from .texts import table
 from .topk import integers, top_k
 from .tokens import Vocabulary, count_tokens
+from .toxicity import THRESHOLD as TOXIC
+from .toxicity import score_toxicity
 
 #: The piece table with scores that op7 counts by.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -148,9 +150,21 @@ def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document as learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), keep=("doc_id",))
+    return scored.select(
+        "row.doc_id",
+        held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = (
     op1_topk, op2_lines, op3_decontaminate, op4_secrets, op5_mixing, op6_substrings, op7_tokens,
-    op8_jaccard, op9_quality, op10_chats,
+    op8_jaccard, op9_quality, op10_chats, op13_toxicity,
 )
 
 

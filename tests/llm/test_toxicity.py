@@ -1,0 +1,137 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loanloom.llm import queries
+from loanloom.llm.toxicity import (
+    BUCKETS,
+    PASSAGE,
+    Model,
+    grams,
+    keep_civil,
+    learn,
+    passages,
+    score_toxicity,
+    words_of,
+)
+
+RUDE = ["blockhead", "numbskull", "nitwit", "scoundrel"]
+
+
+def prose(rng, n):
+    syllables = ["ka", "lo", "mi", "ter", "un", "ves", "pra", "do"]
+    return ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def taught(spark):
+    """Prose of very different lengths; every third text holds one to three rude words."""
+    rng = random.Random(5)
+    docs = []
+    for k in range(900):
+        words = prose(rng, rng.choice([5, 30, 120, 400]))
+        if k % 3 == 0:
+            for _ in range(rng.randint(1, 3)):
+                words.insert(rng.randrange(len(words)), rng.choice(RUDE))
+        docs.append((k, " ".join(words)))
+    labels = [(k, 1, int(k % 3 == 0)) for k in range(700)]
+    return (
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+    )
+
+
+def test_query_finds_rude_words_in_texts_of_any_length(spark, taught, folder):
+    docs, labels = taught
+    rows = queries.op13_toxicity(spark, folder(documents=docs, labels=labels)).collect()
+    assert len(rows) == 900
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    unseen = [r for r in rows if r.held_out or r.doc_id >= 700]
+    wrong = [r for r in unseen if r.predicted != (r.doc_id % 3 == 0)]
+    assert len(wrong) <= 0.03 * len(unseen)
+
+
+def test_misspellings_share_ngrams(spark, taught):
+    docs, labels = taught
+    rng = random.Random(8)
+    spelled = ["blockheads", "bblockhead", "numbskulll", "nitwitt", "scoundrels", "scoundrell"]
+    new = [(2000 + k, " ".join([*prose(rng, 20), w, *prose(rng, 30)]))
+           for k, w in enumerate(spelled)]
+    new += [(3000 + k, " ".join(prose(rng, 50))) for k in range(40)]
+    both = docs.unionByName(spark.createDataFrame(new, docs.schema))
+    score = {r.row.doc_id: r.score for r in score_toxicity(both, labels).collect()}
+    assert sum(score[2000 + k] >= 0.3 for k in range(len(spelled))) >= len(spelled) - 1
+    assert sum(score[3000 + k] >= 0.3 for k in range(40)) <= 1
+
+
+def test_held_out_labels_and_other_columns_change_nothing(spark, taught):
+    docs, labels = taught
+    wrong = F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("toxic"))
+    other = labels.withColumn("toxic", F.coalesce(wrong, F.col("toxic")))
+    score = lambda d, l: sorted(
+        (r.row.doc_id, r.score) for r in score_toxicity(d, l, keep=("doc_id",)).collect()
+    )
+    assert score(docs, labels) == score(docs.withColumn("lang", F.lit("x")), other)
+
+
+def test_grams_of_a_word_by_hand():
+    """Two words share a bucket for each n-gram they share; ends count as characters."""
+    of = lambda w: set(grams([w.encode()])[0].tolist())
+    bucket, owner = grams([b"abc", "ä".encode(), b"abcd"])
+    # "<abc>": three, two, one n-grams of 3, 4, 5 characters, and the word.
+    assert np.bincount(owner).tolist() == [7, 2, 10]
+    assert of("abc") == set(bucket[owner == 0].tolist())
+    assert len(of("idiot") & of("idiots")) >= 6 and not of("idiot") & of("xyz")
+    assert grams([])[0].size == 0 and ((0 <= bucket) & (bucket < BUCKETS)).all()
+
+
+def test_scores_are_those_of_the_definition():
+    rng = np.random.default_rng(1)
+    model = Model(rng.normal(size=BUCKETS).astype(np.float32), -0.5)
+    words = prose(random.Random(2), 200)
+    text = " ".join(words).upper() + " --- ß?"
+    split = words_of(text)
+    assert split == [w.encode() for w in words] + ["ß".encode()]
+    part = {w: model.weights[grams([w])[0]].mean() for w in split}
+    best = max(
+        sum(part[w] for w in set(split[at : at + PASSAGE])) / PASSAGE
+        for at in range(0, len(split), PASSAGE)
+    )
+    score = model.scorer()
+    expected = 1 / (1 + np.exp(0.5 - best))
+    assert np.allclose(score([text, None, "", "?!"]), [expected] + [1 / (1 + np.exp(0.5))] * 3)
+    assert np.allclose(score([text]), expected)  # Words met before.
+
+
+def test_passages_hold_each_word_once():
+    words = np.array([3] * 40 + [1, 2, 1])
+    inside, begins = passages(words)
+    assert [p.tolist() for p in np.split(inside, begins[1:])] == [[3], [1, 2, 3]]
+
+
+def test_embeddings_and_softmax_learn_together():
+    texts = ["good fine", "fine day", "bad day", "bad fine"] * 20
+    model = learn(texts, np.array([0, 0, 1, 1] * 20), np.ones(80))
+    p = model.scorer()(["good day", "bad", "badd", ""])
+    assert p[1] > 0.9 and p[0] < 0.1 and p[2] > p[0]
+    flat = learn(["a", ""], np.array([1, 1]), np.ones(2))
+    assert flat.scorer()(["a", "b"]).tolist() == [0.75, 0.75]
+
+
+def test_odd_rows(spark, odd, empty):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    labels = spark.createDataFrame(
+        [(None, 1), (1, None), (6, 1), (6, 0), (8, 0), (99, 1)], "doc_id long, toxic int"
+    )
+    assert {r.score for r in score_toxicity(odd, none).collect()} == {0.5}
+    found = score_toxicity(odd, labels).collect()
+    assert len(found) == odd.count() and all(0 <= r.score <= 1 for r in found)
+    assert score_toxicity(empty, labels).count() == 0
+    assert keep_civil(odd, labels).columns == odd.columns
