@@ -18,6 +18,7 @@ from .topk import integers, top_k
 from .tokens import Vocabulary, count_tokens
 from .toxicity import THRESHOLD as TOXIC
 from .toxicity import score_toxicity
+from .whitening import whiten
 
 #: The piece table with scores that op7 counts by.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -150,6 +151,23 @@ def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the sixteen main components, scaled to unit variance."""
+    found = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select(
+        F.col("row.vec_id").alias("vec_id"), "n", "deviation", "explained", "identity_error",
+        F.posexplode("whitened").alias("place", "whitened"),
+    ).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.get("explained", F.col("place")).alias("explained"),
+        "identity_error",
+    )
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document as learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -164,7 +182,7 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_topk, op2_lines, op3_decontaminate, op4_secrets, op5_mixing, op6_substrings, op7_tokens,
-    op8_jaccard, op9_quality, op10_chats, op13_toxicity,
+    op8_jaccard, op9_quality, op10_chats, op12_whitening, op13_toxicity,
 )
 
 

@@ -1,0 +1,149 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+
+from loanloom.llm import queries
+from loanloom.llm.whitening import Center, Iteration, whiten
+
+KIND = "vec_id long, embedding array<float>, label int"
+
+
+def table(spark, vectors, ids=None):
+    ids = range(len(vectors)) if ids is None else ids
+    rows = [(i, None if v is None else [None if c is None else float(c) for c in v], 0)
+            for i, v in zip(ids, vectors, strict=True)]
+    return spark.createDataFrame(rows, KIND)
+
+
+def exact(vectors):
+    """The contract with numpy's eigensolver and Python integers."""
+    x = [[math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v] for v in vectors]
+    fit = sorted(set(map(tuple, x)))
+    n, sums = len(fit), [sum(c) for c in zip(*fit, strict=True)]
+    deviation = [sum((n * c - s) ** 2 for c, s in zip(v, sums, strict=True)) for v in x]
+    z = (np.array(fit, object) * n - np.array(sums, object)).astype(float) / n
+    values, turn = np.linalg.eigh(z.T @ z / n)
+    own = (np.array(x, object) * n - np.array(sums, object)).astype(float) / n
+    values, turn = values[::-1], turn[:, ::-1]
+    return n, deviation, values, own @ turn / np.sqrt(np.maximum(values, 1e-300))
+
+
+@pytest.fixture(scope="module")
+def spread(spark):
+    """Forty dimensions with a nearly flat spectrum and a third of all rows equal."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 40)) * np.linspace(1.2, 0.8, 40)
+    return np.concatenate([x, np.repeat(x[:1], 200, axis=0)])
+
+
+def test_query_equals_a_dense_eigensolver(spark, spread, folder):
+    rows = queries.op12_whitening(spark, folder(embeddings=table(spark, spread))).collect()
+    n, deviation, values, white = exact(spread)
+    assert len(rows) == 600 * 16 and {r.component for r in rows} == set(range(1, 17))
+    found = np.zeros((600, 16))
+    for r in rows:
+        assert r.n == n == 400 and r.deviation == deviation[r.vec_id]
+        assert math.isclose(r.explained, values[r.component - 1] / values.sum(), rel_tol=1e-9)
+        assert 0 <= r.identity_error < 1e-9
+        found[r.vec_id, r.component - 1] = r.whitened
+    for k in range(16):
+        sign = np.sign(found[:, k] @ white[:, k])
+        assert np.allclose(found[:, k], sign * white[:, k], atol=1e-8)
+
+
+def dense(values, seed=0):
+    """Products with a matrix of these eigenvalues, and its eigenvectors."""
+    turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(values),) * 2))[0]
+    matrix = (turn * values) @ turn.T
+    return lambda q: matrix @ q, turn
+
+
+def test_filter_damps_the_unwanted_part():
+    values = np.linspace(1.1, 0.9, 50)
+    product, turn = dense(values)
+    it = Iteration(product, 50, 8)
+    low = it.lower_bound()
+    assert 0 <= low <= values[-1] + 1e-12 and low > 0.5
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(50, 16)))[0]
+    part = np.abs(turn.T @ it.filtered(block, low, values[16], values[0])).max(axis=1)
+    assert it.passes == 10 + 10
+    assert part[:8].min() > 20 * part[16:].max()
+
+
+def test_found_components_are_certified():
+    values = np.concatenate([[5.0, 3.0], np.linspace(1.1, 0.9, 62)])
+    product, turn = dense(values)
+    it = Iteration(product, 64, 16)
+    found, vectors, residual = it.run()
+    assert np.allclose(found, values[:16], rtol=1e-13) and residual <= 1e-12
+    assert np.allclose(np.abs((turn[:, :16] * vectors).sum(axis=0)), 1, atol=1e-12)
+    assert it.block == 32 and it.passes < 150
+
+
+def test_a_missed_direction_is_found():
+    """A block that lost its first direction does not pass the last probe."""
+    values = np.concatenate([[9.0], np.linspace(1.2, 0.5, 23)])
+    product, turn = dense(values)
+    it = Iteration(product, 24, 4)
+    found = it.missed(turn[:, 1:9], values[1:9], 0.4)
+    assert found is not None and abs(found[:, 0] @ turn[:, 0]) > 0.99
+    assert it.missed(turn[:, :8], values[:8], 0.4) is None
+
+
+@pytest.mark.parametrize("values", [
+    np.concatenate([np.full(40, 10.0), np.full(20, 1.0)]),  # equal, more than the block holds
+    np.concatenate([10 + np.linspace(1e-4, 0, 40), np.full(20, 1.0)]),  # nearly equal
+    np.concatenate([np.linspace(3, 2, 5), np.zeros(55)]),  # few directions with variance
+    np.full(60, 2.0),
+])
+def test_equal_eigenvalues(values):
+    product, _ = dense(values)
+    it = Iteration(product, 60, 16)
+    found, vectors, residual = it.run()
+    assert np.allclose(found, values[:16], rtol=1e-11, atol=1e-11) and residual <= 1e-12
+    assert np.allclose(vectors.T @ vectors, np.eye(16), atol=1e-12)
+
+
+def test_few_dimensions(spark):
+    # Corners of a cube: every direction has the same variance.
+    corners = [[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+    rows = whiten(table(spark, corners)).collect()
+    white = np.array([r.whitened for r in rows])
+    assert white.shape == (8, 3) and np.allclose(white.T @ white / 8, np.eye(3))
+    assert np.allclose(rows[0].explained, 1 / 3) and rows[0].identity_error < 1e-12
+
+
+def test_rows_that_take_no_part_and_odd_tables(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = table(
+        spark,
+        [None, [1, None], [1, nan], [1, -inf], [1, 2], [1, 2], [3], [], [5, 1], [1e300, 0]][:-1],
+        [1, 2, 3, 4, 5, 5, None, 7, 8],
+    ).withColumnRenamed("label", "whitened")
+    rows = whiten(odd).collect()
+    assert sorted((r.row.vec_id is None, r.row.vec_id) for r in rows if r.row.vec_id) == [
+        (False, 5), (False, 5), (False, 7), (False, 8)]
+    assert {r.n for r in rows} == {4} and all(len(r.whitened) == 2 for r in rows)
+    _, deviation, _, _ = exact([[1, 2], [3, 0], [0, 0], [5, 1]])
+    found = {r.row.vec_id: r.deviation for r in rows}
+    assert [found[k] for k in (5, None, 7, 8)] == deviation
+    assert odd.columns == rows[0].row.__fields__
+
+    alike = whiten(table(spark, [[1, 2], [1, 2], [1, 2]])).collect()
+    assert [(r.n, r.deviation, r.whitened, r.explained) for r in alike] == [(1, 0, [], [])] * 3
+    assert [r.whitened for r in whiten(table(spark, [[], []])).collect()] == [[], []]
+    assert whiten(table(spark, [[1.0]]).limit(0)).count() == 0
+    assert whiten(table(spark, [None])).count() == 0
+
+
+def test_large_numbers_stay_exact(spark):
+    center = Center(3, [3 * 10**6 + 1, 5])
+    x = np.array([[10**6, 2], [2**61, -(2**61)]])
+    assert center.deviation(x[:1])[0] == (3 * 10**6 - 3 * 10**6 - 1) ** 2 + (6 - 5) ** 2
+    assert center.deviation(x)[1] is None
+    rows = whiten(table(spark, [[3e38, 1], [-3e38, 2], [0, 3]])).collect()
+    assert {r.deviation for r in rows if abs(r.row.embedding[0]) > 1} == {None}
+    assert all(math.isfinite(w) for r in rows for w in r.whitened)
