@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chats import format_chats
 from .decontaminate import find_passages
 from .jaccard import jaccard_groups
+from .lexical import rank_documents
 from .lines import dedup_lines
 from .mixing import mix
 from .quality import THRESHOLD, held_out, score_quality
@@ -151,6 +152,48 @@ def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty documents that match each benchmark item's terms best."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+    SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), sizes AS (
+    SELECT place, doc_id, len(terms) AS n FROM words WHERE len(terms) > 0
+), totals AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes
+), counts AS (
+    SELECT place, term, count(*) AS tf
+    FROM (SELECT place, unnest(terms) AS term FROM words) GROUP BY place, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counts CROSS JOIN totals GROUP BY term, docs
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), scored AS (
+    SELECT item_id, place, doc_id, sum(w * ((1000000000 * tf) //
+        (1000 * tf + 20 * (50 + (50 * n * docs) // totals.terms))))::BIGINT AS score
+    FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (place)
+    CROSS JOIN totals
+    GROUP BY item_id, place, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+    FROM scored WHERE score > 0 AND doc_id IS NOT NULL
+)
+WHERE rank <= 50
+"""
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the sixteen main components, scaled to unit variance."""
     found = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -182,7 +225,7 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_topk, op2_lines, op3_decontaminate, op4_secrets, op5_mixing, op6_substrings, op7_tokens,
-    op8_jaccard, op9_quality, op10_chats, op12_whitening, op13_toxicity,
+    op8_jaccard, op9_quality, op10_chats, op11_lexical, op12_whitening, op13_toxicity,
 )
 
 
@@ -191,4 +234,4 @@ def registered() -> dict:
 
 
 def oracle_texts() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL}
+    return {"op1_topk": OP1_SQL, "op11_lexical": OP11_SQL}

@@ -95,7 +95,7 @@ def passages(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of words, passage by passage, each once a passage, and where passages begin."""
     most = int(words.max()) + 1
     keys = np.unique(np.arange(len(words)) // PASSAGE * most + words)
-    return keys % most, np.flatnonzero(np.diff(keys // most, prepend=-1))
+    return (keys % most).astype(words.dtype), np.flatnonzero(np.diff(keys // most, prepend=-1))
 
 
 @dataclass
@@ -155,20 +155,23 @@ def learn(texts: list[str], toxic: np.ndarray, weights: np.ndarray) -> Model:
     known = weights.sum()
     base = (weights @ toxic + 1) / (known + 2)
     flat = Model(np.zeros(BUCKETS), float(np.log(base / (1 - base))))
-    split = [words_of(t) for t in texts]
-    if len(set(toxic.tolist())) < 2 or not any(split):
-        return flat
     number: dict[bytes, int] = {}
-    docs = [
-        np.fromiter((number.setdefault(w, len(number)) for w in s), np.int64, len(s))
-        for s in split
-    ]
+    docs = []
+    for text in texts:
+        words = words_of(text)
+        docs.append(
+            np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+        )
+    if len(set(toxic.tolist())) < 2 or not number:
+        return flat
     bucket, owner = grams(list(number))
     order = np.argsort(owner, kind="stable")
     bucket, owner = bucket[order].astype(np.int32), owner[order]
     size = np.bincount(owner, minlength=len(number))
     first = np.concatenate([[0], np.cumsum(size)])
     cut = [passages(d) if len(d) else (d, d) for d in docs]
+    usable = np.array([k for k, d in enumerate(docs) if len(d)])
+    del docs
 
     rng = np.random.default_rng(SEED)
     embeddings = rng.uniform(-0.1, 0.1, (BUCKETS, DIMENSIONS))
@@ -176,7 +179,6 @@ def learn(texts: list[str], toxic: np.ndarray, weights: np.ndarray) -> Model:
     bias = np.array([0.0, float(np.log(base / (1 - base)))])
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (embeddings, softmax, bias)]
     share = weights / weights.mean()
-    usable = np.array([k for k, d in enumerate(docs) if len(d)])
     step, parts = 0, -(-len(usable) // BATCH)
     for epoch in range(max(EPOCHS, -(-STEPS // parts))):
         # The most toxic passage of every document, by the model as it is now.

@@ -1,0 +1,152 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from loanloom.llm import lexical, queries
+from loanloom.llm.lexical import Bucket, impacts, rank_documents, search, terms_of
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+def brute(docs, items, k=50):
+    """The contract, document by document, in Python integers."""
+    split = lambda t: TERM.findall(t.translate(UPPER)) if t else []
+    held = [(i, split(t)) for i, t in docs]
+    held = [(i, terms) for i, terms in held if terms]
+    n_docs, n_terms = len(held), sum(len(t) for _, t in held)
+    df = Counter(t for _, terms in held for t in set(terms))
+    out = []
+    asked = {}
+    for item, text in items:
+        asked.setdefault(item, set()).update(split(text))
+    for item, wanted in asked.items():
+        found = []
+        for doc, terms in held:
+            tf = Counter(terms)
+            m = 100 - 50 + (50 * len(terms) * n_docs) // n_terms
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                * ((1000000000 * tf[t]) // (1000 * tf[t] + 20 * m))
+                for t in wanted if tf[t]
+            )
+            if score > 0 and doc is not None:
+                found.append((-score, doc))
+        out += [(item, r, d, -s) for r, (s, d) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def corpus(rng, n):
+    """Skewed words, very different lengths, a third of all texts equal, and odd rows."""
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    text = lambda: " ".join(rng.choices(words, k=rng.choice([1, 8, 40, 300])))
+    same = "The same TEXT, w1 w2 w3-w4 été Été ß 12x"
+    docs = [(k, same if k % 3 == 0 else text()) for k in range(n)]
+    docs += [(n, None), (n + 1, ""), (n + 2, " -,. "), (5, text()), (None, same), (n + 3, "w9 " * 9000)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(1, 25)))) for k in range(25)]
+    items += [(100, "same text ÉTÉ été"), (101, None), (102, "..."), (103, "nowhere"), (3, "w7"),
+              (104, "W9"), (None, "12x w2")]
+    return docs, items
+
+
+def tables(spark, docs, items):
+    return (
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    )
+
+
+@pytest.fixture
+def small_parts(monkeypatch):
+    """Buckets and ranges so small that floors and bounds decide."""
+    monkeypatch.setattr(lexical, "BUCKET", 16)
+    monkeypatch.setattr(lexical, "RANGE", 100)
+
+
+def test_query_equals_brute_force(spark, folder):
+    docs, items = corpus(random.Random(1), 500)
+    d, i = tables(spark, docs, items)
+    path = folder(documents=d, benchmark=i)
+    found = sorted(map(tuple, queries.op11_lexical(spark, path).collect()), key=str)
+    assert found == brute(docs, items)
+
+
+@pytest.mark.parametrize("k, together", [(3, 1 << 20), (50, 60)])
+def test_many_ranges_and_blocks_of_items(spark, small_parts, k, together):
+    docs, items = corpus(random.Random(2), 700)
+    found = rank_documents(*tables(spark, docs, items), k=k, together=together)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(docs, items, k)
+
+
+def bucket_of(docs, vocabulary):
+    """An Arrow batch of count vectors in order of length, as a task gets it."""
+    import pyarrow as pa
+
+    weights = np.array([900, 700, 500, 300, 100, 1], np.int64)[: len(vocabulary)]
+    rows = []
+    for doc, counts in docs:
+        term = np.array(sorted(counts), np.int32)
+        tf = np.array([counts[t] for t in sorted(counts)], np.int32)
+        value = impacts(tf, np.int64(100), weights[term]).astype(float)
+        rows.append((float(np.sqrt((value**2).sum())), doc, term, tf))
+    rows.sort(key=lambda r: -r[0])
+    return weights, pa.record_batch({
+        "doc_id": pa.array([r[1] for r in rows], pa.int64()),
+        "m": pa.array([100] * len(rows), pa.int64()),
+        "length": pa.array([r[0] for r in rows]),
+        "term": pa.array([r[2] for r in rows], pa.list_(pa.int32())),
+        "tf": pa.array([r[3] for r in rows], pa.list_(pa.int32())),
+    })
+
+
+def test_bounds_drop_only_what_cannot_be_reached():
+    rng = random.Random(4)
+    docs = [(k, {rng.randrange(6): rng.randint(1, 9) for _ in range(rng.randint(1, 6))})
+            for k in range(200)]
+    weights, batch = bucket_of(docs, range(6))
+    bucket = Bucket(batch, weights)
+    for wanted in ([0], [0, 1, 2], [3, 4, 5], [0, 1, 2, 3, 4, 5]):
+        terms = np.array(wanted)
+        exact = bucket.scores(np.arange(200), terms)
+        for place in (0, 5, 60):
+            floor = np.sort(exact)[::-1][place]
+            kept = bucket.survivors(terms, float(floor), 10)
+            best = np.sort(exact)[::-1][9]
+            assert set(np.flatnonzero(exact >= max(floor, best, 1))) <= set(kept.tolist())
+        assert len(bucket.survivors(terms, float(exact.max() * 1.5), 10)) < 20
+        assert not len(bucket.survivors(terms, 1e18, 10))
+
+
+def test_short_vectors_are_not_looked_at(monkeypatch):
+    """Buckets whose longest vector cannot reach the floor are dropped unread."""
+    docs = [(k, {0: 50 if k < 20 else 1, 1: 50 if k < 20 else 1}) for k in range(200)]
+    weights, batch = bucket_of(docs, range(2))
+    monkeypatch.setattr(lexical, "BUCKET", 20)
+    made = []
+    monkeypatch.setattr(lexical, "Bucket", lambda *a: made.append(1) or Bucket(*a))
+    item, ids, _ = search([batch], weights, [np.array([0, 1])], np.ones(1, np.int64), 5)
+    assert len(made) == 1 and ids.tolist() == [0, 1, 2, 3, 4] and set(item) == {0}
+
+
+def test_terms():
+    assert terms_of("The CAT's 2nd_Été—x\x00y ÀÄ") == [
+        t.encode() for t in TERM.findall("The CAT's 2nd_Été—x\x00y ÀÄ".translate(UPPER))]
+    assert terms_of(None) == terms_of("") == terms_of(" _ ") == []
+
+
+def test_odd_tables(spark, odd, empty):
+    items = spark.createDataFrame([(1, "same word wörter"), (1, "twice")], "item_id long, text string")
+    none = items.limit(0)
+    found = rank_documents(odd, items.selectExpr("*", "1 AS doc_id", "'x' AS rank"))
+    rows = [r[0] for r in odd.select("doc_id").collect()]
+    texts = [r[0] for r in odd.select("text").collect()]
+    assert sorted(map(tuple, found.collect()), key=str) == brute(
+        list(zip(rows, texts, strict=True)), [(1, "same word wörter twice")])
+    for docs, asked in ((empty, items), (odd, none), (empty, none)):
+        assert rank_documents(docs, asked).collect() == []
