@@ -18,6 +18,8 @@ from loanloom.functions.text import (
     full_name,
     labelled_line,
     money,
+    raw_spellings,
+    spelled_like,
 )
 
 __all__ = [
@@ -38,5 +40,7 @@ __all__ = [
     "month_key",
     "month_start",
     "principal_bucket",
+    "raw_spellings",
+    "spelled_like",
     "volume_category",
 ]

@@ -11,6 +11,7 @@ from loanloom.operators.aggregates import (
     sum_if,
     sum_if_over,
 )
+from loanloom.operators.distinct import count_states, distinct_states, merge_states
 from loanloom.operators.joins import (
     fan_out,
     first_rows,
@@ -19,8 +20,15 @@ from loanloom.operators.joins import (
     spine_enrich,
     sum_over_pairs,
 )
-from loanloom.operators.quality import assert_rows, check_row_count, dq_profile
-from loanloom.operators.ranking import dedup_by, first_per_key, latest_per_key
+from loanloom.operators.prefilter import keep_likely, key_bits
+from loanloom.operators.quality import (
+    assert_rows,
+    check_row_count,
+    counted,
+    dq_profile,
+    fingerprint,
+)
+from loanloom.operators.ranking import dedup_by, first_per_key, last_rows, latest_per_key
 
 __all__ = [
     "assert_rows",
@@ -30,15 +38,23 @@ __all__ = [
     "count_distinct",
     "count_if_over",
     "count_over",
+    "count_states",
+    "counted",
     "dedup_by",
+    "distinct_states",
     "distinct_values",
     "dq_profile",
     "fan_out",
+    "fingerprint",
     "first_per_key",
     "first_rows",
+    "keep_likely",
     "keep_matching",
+    "key_bits",
+    "last_rows",
     "latest_per_key",
     "lookup_or_zero",
+    "merge_states",
     "repeated_groups",
     "spine_enrich",
     "stats",

@@ -6,6 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loanloom.operators.prefilter import keep_likely
+
+# Types whose greatest value per key is kept by a hash aggregate.
+FIXED_WIDTH = (
+    T.BooleanType,
+    T.ByteType,
+    T.ShortType,
+    T.IntegerType,
+    T.LongType,
+    T.FloatType,
+    T.DoubleType,
+    T.DecimalType,
+    T.DateType,
+    T.TimestampType,
+    T.TimestampNTZType,
+)
 
 
 def first_per_key(
@@ -35,3 +53,29 @@ def dedup_by(
     if order is None:
         order = [c for c in df.columns if c not in keys] or list(keys)
     return first_per_key(df, keys, order)
+
+
+def fixed_width(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, FIXED_WIDTH)
+
+
+def last_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    columns: Sequence[Column | str],
+    tops: DataFrame,
+    name: str,
+) -> DataFrame:
+    """Per key, ``columns`` of the row that is last in ``order``, as a struct called ``name``.
+
+    ``tops`` holds for every key the greatest value of the first order column, which a hash
+    aggregate finds without sorting or carrying a single text (null where all are null).  Only
+    rows that reach their key's value, and a few others, are kept by a bounded table of bits and
+    compared in full.  Rows that do not reach it are smaller, so they change nothing; ties of the
+    first column are decided by the others.  Keys that ``tops`` does not hold may come out, with
+    any row.
+    """
+    reached = keep_likely(df, tops, [*keys, order[0]])
+    last = F.max_by(F.struct(*columns), F.struct(*order))
+    return reached.groupBy(*keys).agg(last.alias(name))

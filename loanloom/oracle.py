@@ -463,6 +463,24 @@ BODIES: dict[str, str] = {
     "unique_customers_by_channel": """
         SELECT channel, count(DISTINCT customer_id) AS unique_customers
         FROM transactions GROUP BY 1""",
+    "monthly_volume_kept": _monthly(
+        f"{PADDED} AS year_month",
+        extra=", count(DISTINCT customer_id) AS unique_customer_count",
+    ),
+    "unique_customers_over_quarters": """
+        SELECT CAST(last_month AS VARCHAR) AS last_month, channel,
+               count(DISTINCT customer_id) AS unique_customer_count
+        FROM (
+            SELECT CAST(date_trunc('month', timestamp) + to_months(CAST(step AS INTEGER)) AS DATE)
+                   AS last_month, channel, customer_id
+            FROM ledger, (SELECT unnest([0, 1, 2]) AS step) steps
+            WHERE timestamp IS NOT NULL AND customer_id IS NOT NULL
+        ) spans
+        WHERE last_month <= (
+            SELECT CAST(date_trunc('month', max(timestamp)) AS DATE) FROM ledger
+            WHERE customer_id IS NOT NULL
+        )
+        GROUP BY 1, 2""",
     # accounts and records
     "active_accounts": "SELECT account_id, customer_id FROM accounts WHERE is_active = TRUE",
     "first_accounts": """
@@ -646,7 +664,13 @@ BODIES: dict[str, str] = {
         SELECT (SELECT count(*) FROM customers) AS expected_row_count, count(*) AS row_count,
                count(*) = (SELECT count(*) FROM customers) AS passed
         FROM accounts WHERE account_type = 'Savings'""",
+    "saved_row_check": """
+        SELECT count(*) AS expected_row_count, count(*) AS row_count, TRUE AS passed
+        FROM loans WHERE loan_status = 'Active'""",
     # sinks
+    "save_table_once": "SELECT loan_id, customer_id FROM loans WHERE loan_status = 'Active'",
+    "active_loans_bucketed": _active(BASIC),
+    "save_load_csv_lines": _segments("detail"),
     "save_load_table": _segments("latest"),
     "save_load_parquet": _monthly(f"{PADDED} AS month"),
     "save_load_parquet_year": f"""

@@ -4,7 +4,15 @@ from loanloom.plans.accounts import (
     approved_records,
     first_accounts,
 )
-from loanloom.plans.channels import distinct_channel_users, monthly_channel_volume
+from loanloom.plans.channels import (
+    distinct_channel_users,
+    kept_customers,
+    kept_volume,
+    monthly_channel_volume,
+    refresh_months,
+    touched_months,
+    unique_customers_over_spans,
+)
 from loanloom.plans.exposure import (
     balance_over,
     flagged_borrower_volume,
@@ -47,13 +55,18 @@ __all__ = [
     "flatten",
     "high_balance_good_score",
     "high_risk_exposure",
+    "kept_customers",
+    "kept_volume",
     "loan_customer_segments",
     "loan_line_report",
     "loans_by_status",
     "loans_over_floor",
     "matching_loans",
     "monthly_channel_volume",
+    "refresh_months",
     "target_customers",
     "total_exposure",
+    "touched_months",
+    "unique_customers_over_spans",
     "with_canonical_type",
 ]

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.functions.text import canonical_category, category_is, labelled_line
+from loanloom.functions.text import canonical_category, labelled_line, spelled_like
 from loanloom.functions.text import full_name as joined_name
 from loanloom.operators.ranking import first_per_key
 from loanloom.schemas import LOAN_STATUS_SYNONYMS, LOAN_TYPE_SYNONYMS
@@ -38,7 +38,10 @@ def matching_loans(
 
     With an exact match the two category columns are constants after the filter; they are
     put back as literals at the end instead of travelling through the shuffles.
-    ``synonyms`` also accepts other spellings and keeps the category columns as found.
+    ``synonyms`` also accepts other spellings and keeps the category columns as found; which
+    spellings occur is read from the column first, so that the filter itself reaches the scan.
+    Where a category is decoded from a column that ``loans`` holds as ``loan_type_code`` or
+    ``loan_status_code``, the filter is on the codes.
     """
     wanted = {"loan_type": loan_type, "loan_status": loan_status}
     spellings = {"loan_type": LOAN_TYPE_SYNONYMS, "loan_status": LOAN_STATUS_SYNONYMS}
@@ -47,7 +50,9 @@ def matching_loans(
         if value is None:
             continue
         if synonyms:
-            loans = loans.filter(category_is(F.col(name), value, spellings[name].get(value, ())))
+            stored = f"{name}_code" if f"{name}_code" in loans.columns else None
+            alike = spellings[name].get(value, ())
+            loans = loans.filter(spelled_like(loans, name, value, alike, stored))
         else:
             loans = loans.filter(F.col(name) == value)
             constants[name] = F.lit(value)

@@ -6,7 +6,10 @@ columns.
 
 Everything the report needs from ``transactions`` except full detail is taken from one
 grouping per customer (:func:`customer_activity`): one scan and one shuffle of partially
-aggregated rows, in place of a count, a window over all transactions and two joins.
+aggregated rows, in place of a count, a window over all transactions and two joins.  With
+``selective`` transactions of customers that the report does not name are dropped at the scan,
+and the representative transaction is found by a second, equally selective scan instead of a
+sort of all transactions.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from loanloom.functions.bands import (
 )
 from loanloom.operators.aggregates import beside_rows
 from loanloom.operators.joins import fan_out
+from loanloom.operators.prefilter import keep_likely
+from loanloom.operators.ranking import fixed_width, last_rows
 from loanloom.plans.loans import KEY, NAMES, matching_loans
 
 TRANSACTION_COLUMNS = ("merchant_name", "transaction_type", "channel")
@@ -63,26 +68,50 @@ REPRESENTATIVES: dict[str, tuple[Callable[[], Column], tuple[str, ...]]] = {
 
 
 def customer_activity(
-    transactions: DataFrame, rule: str = "channel", representative: str | None = None
+    transactions: DataFrame,
+    rule: str = "channel",
+    representative: str | None = None,
+    among: DataFrame | None = None,
 ) -> DataFrame:
     """Per customer: its transactions, the active ones, and one representative transaction.
 
     Null times sort before all others, so a customer keeps a representative even when no
     transaction has a time.
+
+    With ``among``, a table with the customers of interest, other customers' transactions are
+    dropped before they are grouped, up to a few (:func:`keep_likely`), so other customers may
+    come out as well.  The grouping then keeps numbers only, and the representatives' text is
+    fetched by a second scan.  An order that starts with text needs the one sorted pass anyway.
     """
     active = F.coalesce(ACTIVITY_RULES[rule](), F.lit(False))
     measures = [
         F.count("*").alias("transaction_rows"),
         F.count_if(active).alias("upi_transaction_count"),
     ]
-    if representative is not None:
-        eligible, order = REPRESENTATIVES[representative]
-        measures.append(
-            F.max_by(F.struct(*TRANSACTION_COLUMNS), F.when(eligible(), F.struct(*order))).alias(
-                "representative"
-            )
-        )
-    return transactions.groupBy(KEY).agg(*measures)
+    if among is not None:
+        known = transactions.where(F.col(KEY).isNotNull())
+        transactions = keep_likely(known, among, [KEY])
+    if representative is None:
+        return transactions.groupBy(KEY).agg(*measures)
+
+    eligible, order = REPRESENTATIVES[representative]
+    if among is None or not fixed_width(transactions, order[0]):
+        last = F.max_by(F.struct(*TRANSACTION_COLUMNS), F.when(eligible(), F.struct(*order)))
+        return transactions.groupBy(KEY).agg(*measures, last.alias("representative"))
+
+    top = F.max(F.when(eligible(), F.col(order[0]))).alias(order[0])
+    counted = transactions.groupBy(KEY).agg(*measures, top)
+    # True of every row.  It asks for all columns of the grouping, here as below, so that Spark
+    # finds the same exchange in both places and groups once.
+    tops = counted.where(F.col("upi_transaction_count") <= F.col("transaction_rows"))
+    shown = (*TRANSACTION_COLUMNS, F.col(order[0]).alias("__top"))
+    last = last_rows(known.where(eligible()), [KEY], order, shown, tops, "representative")
+    reached = F.col("representative.__top").eqNullSafe(F.col(order[0]))
+    fields = F.struct(*[F.col(f"representative.{c}") for c in TRANSACTION_COLUMNS])
+    return counted.join(last, KEY, "left").select(
+        *[c for c in counted.columns if c != order[0]],
+        F.when(F.col("representative").isNotNull() & reached, fields).alias("representative"),
+    )
 
 
 def loan_customer_segments(
@@ -103,6 +132,7 @@ def loan_customer_segments(
     count_per: str = "customer",
     keep_all_loans: bool = False,
     order: Sequence[Column | str] = ("loan_id",),
+    selective: bool = False,
 ) -> DataFrame:
     """Segmented loans, with transaction columns according to ``attach``.
 
@@ -115,7 +145,9 @@ def loan_customer_segments(
     and count with ``unknown_flag``.  ``keep_all_loans`` keeps loans whose customer is not
     on file.  ``count_per="joined_row"`` counts a customer's active transactions once per
     selected loan, as a count over the joined detail rows does.  ``synonyms`` accepts other
-    spellings of the type and status.
+    spellings of the type and status.  ``selective`` pays off where the loans picked name a
+    part of the customers: it reads the loans once more and ``transactions`` twice for a
+    representative, and shuffles only what concerns these customers.
     """
     one_per_customer = attach in REPRESENTATIVES
     picked = matching_loans(
@@ -132,7 +164,12 @@ def loan_customer_segments(
     people = customers.select(KEY, *NAMES, "credit_score")
     base = picked.join(people, KEY, "left" if keep_all_loans else "inner")
 
-    activity = customer_activity(transactions, upi_rule, attach if one_per_customer else None)
+    activity = customer_activity(
+        transactions,
+        upi_rule,
+        attach if one_per_customer else None,
+        picked.select(KEY) if selective else None,
+    )
     base = base.join(activity, KEY, "left")
 
     count = F.when(F.col("transaction_rows") > 0, F.col("upi_transaction_count"))
@@ -158,6 +195,8 @@ def loan_customer_segments(
         base = base.select("*", "representative.*")
     elif attach == "detail":
         detail = transactions.select(KEY, "transaction_id", *TRANSACTION_COLUMNS)
+        if selective:
+            detail = keep_likely(detail.where(F.col(KEY).isNotNull()), picked.select(KEY), [KEY])
         base = fan_out(base, detail, KEY, "transaction_id", "left")
     elif attach != "none":
         raise ValueError(f"unknown attach: {attach}")

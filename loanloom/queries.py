@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,16 @@ from loanloom.functions.bands import CREDIT_BANDS, PRINCIPAL_BUCKETS
 from loanloom.plans.segments import ACTIVITY_RULES
 from loanloom.schemas import LOAN_TYPE_SYNONYMS
 from loanloom.session import shared_path
-from loanloom.sources import CSV_EXACT, from_rows, load, preview, publish_view, run_sql, save
+from loanloom.sources import (
+    CSV_EXACT,
+    CSV_LINES,
+    from_rows,
+    load,
+    preview,
+    publish_view,
+    run_sql,
+    save,
+)
 from loanloom.sources.star import Bank, open_bank
 
 Query = Callable[[Bank], DataFrame]
@@ -110,19 +120,19 @@ def auto_loans(b: Bank) -> DataFrame:
 
 @query
 def auto_loans_synonyms(b: Bank) -> DataFrame:
-    return plans.active_auto_loans(b.customers, b.loans)
+    return plans.active_auto_loans(b.customers, b.coded_loans)
 
 
 @query
 def active_loans_nested(b: Bank) -> DataFrame:
-    return plans.flatten(plans.active_loans_nested(b.customers, b.loans), "customer")
+    return plans.flatten(plans.active_loans_nested(b.customers, b.coded_loans), "customer")
 
 
 @query
 def active_loan_documents(b: Bank) -> DataFrame:
     """The same join over a document collection landed as JSON lines, nested fields read back."""
     path = shared_path(b.spark, "active-loans")
-    nested = plans.active_loans_nested(b.customers, b.loans)
+    nested = plans.active_loans_nested(b.customers, b.coded_loans)
     save(nested, path, "json", "errorifexists")
     documents = load(b.spark, path, "json", nested.schema)
     return documents.select(
@@ -368,6 +378,28 @@ def unique_customers_by_channel(b: Bank) -> DataFrame:
     return op.count_distinct(b.transactions, ["channel"], "customer_id", "unique_customers")
 
 
+def _kept_in_two_loads(b: Bank) -> str:
+    """Monthly states of the ledger, loaded up to a day and then brought up to date: only the
+    months of later rows are read and replaced."""
+    path = shared_path(b.spark, "monthly")
+    new = F.coalesce(F.col("timestamp") >= F.lit("1995-06-17").cast("timestamp_ntz"), F.lit(True))
+    plans.refresh_months(b.ledger.where(~new), path)
+    plans.refresh_months(b.ledger, path, plans.touched_months(b.ledger.where(new)))
+    return path
+
+
+@query
+def monthly_volume_kept(b: Bank) -> DataFrame:
+    return plans.kept_volume(b.spark, _kept_in_two_loads(b))
+
+
+@query
+def unique_customers_over_quarters(b: Bank) -> DataFrame:
+    """Unique customers of every three months in a row, merged from the months' sets."""
+    states = plans.kept_customers(b.spark, _kept_in_two_loads(b))
+    return plans.unique_customers_over_spans(states, 3)
+
+
 # --- accounts and records ---------------------------------------------------------------
 
 
@@ -409,8 +441,9 @@ def account_status_counts(b: Bank) -> DataFrame:
 
 
 def _segments(b: Bank, attach: str, **options) -> DataFrame:
+    loans = b.coded_loans if options.get("synonyms") else b.loans
     return plans.loan_customer_segments(
-        b.customers, b.loans, b.transactions, attach=attach, **options
+        b.customers, loans, b.transactions, attach=attach, selective=True, **options
     )
 
 
@@ -555,6 +588,7 @@ def segments_any_all_loans(b: Bank) -> DataFrame:
         principal="high",
         flag_labels=(True, False),
         keep_all_loans=True,
+        selective=True,
     )
 
 
@@ -717,7 +751,16 @@ def balance_stats(b: Bank) -> DataFrame:
 def row_count_check(b: Bank) -> DataFrame:
     """As many savings accounts as customers."""
     savings = b.accounts.filter(F.col("account_type") == "Savings")
-    return op.check_row_count(savings, b.customers.count())
+    return op.check_row_count(savings, b.customers.select(F.count("*")).scalar())
+
+
+@query
+def saved_row_check(b: Bank) -> DataFrame:
+    """As many active loans found in a folder as were counted on their way into it."""
+    path = shared_path(b.spark, "active")
+    rows, sent = op.counted(plans.loans_by_status(b.loans))
+    save(rows, path, "parquet", "errorifexists")
+    return op.check_row_count(load(b.spark, path, "parquet", rows.schema), sent())
 
 
 # --- sinks ------------------------------------------------------------------------------
@@ -730,6 +773,30 @@ def save_load_table(b: Bank) -> DataFrame:
     return load(b.spark, name)
 
 
+@query
+def save_table_once(b: Bank) -> DataFrame:
+    """A table that is there already is not replaced."""
+    name = _fresh("active_loans")
+    loans = plans.loans_by_status(b.loans).select("loan_id", "customer_id")
+    save(loans, name, mode="errorifexists", path=shared_path(b.spark, "once"))
+    try:
+        save(loans.limit(0), name, mode="errorifexists")
+    except AnalysisException:
+        return load(b.spark, name)
+    raise AssertionError(f"{name} was replaced")
+
+
+@query
+def active_loans_bucketed(b: Bank) -> DataFrame:
+    """The join of two tables that are stored by its key: neither side is shuffled again."""
+    loans, people = _fresh("loans_by_customer"), _fresh("customers_by_customer")
+    parts = int(b.spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, df in ((loans, b.loans), (people, b.customers)):
+        where = shared_path(b.spark, name)
+        save(df, name, path=where, bucket_by=(parts, "customer_id"))
+    return plans.active_loan_customers(load(b.spark, people), load(b.spark, loans))
+
+
 @query
 def save_load_parquet(b: Bank) -> DataFrame:
     """Monthly totals written by month and read back."""
@@ -753,6 +820,15 @@ def save_load_csv(b: Bank) -> DataFrame:
     return load(b.spark, path, "csv", rows.schema, **CSV_EXACT)
 
 
+@query
+def save_load_csv_lines(b: Bank) -> DataFrame:
+    """The same rows as CSV in which a row is a line."""
+    path = shared_path(b.spark, "segments-csv")
+    rows = _segments(b, "detail")
+    save(rows, path, CSV_LINES, "errorifexists")
+    return load(b.spark, path, CSV_LINES, rows.schema)
+
+
 def _loans_as_csv(b: Bank) -> str:
     path = shared_path(b.spark, "loans-csv")
     columns = ["loan_id", "customer_id", "loan_type", "loan_status", "start_date", "tenure_months"]

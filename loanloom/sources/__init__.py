@@ -1,6 +1,7 @@
 from loanloom.sources.scenarios import load_scenarios, scenario_tables
 from loanloom.sources.tables import (
     CSV_EXACT,
+    CSV_LINES,
     CSV_NULL,
     constant_row,
     from_rows,
@@ -13,6 +14,7 @@ from loanloom.sources.tables import (
 
 __all__ = [
     "CSV_EXACT",
+    "CSV_LINES",
     "CSV_NULL",
     "constant_row",
     "from_rows",

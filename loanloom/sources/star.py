@@ -126,6 +126,11 @@ class Bank:
 
     @cached_property
     def loans(self) -> DataFrame:
+        return self.coded_loans.drop("loan_type_code", "loan_status_code")
+
+    @cached_property
+    def coded_loans(self) -> DataFrame:
+        """The loans with the stored codes of their categories, for filters that reach the scan."""
         return self.star("orders").selectExpr(
             "o_orderkey AS loan_id",
             "o_custkey AS customer_id",
@@ -139,6 +144,8 @@ class Bank:
             "CASE WHEN o_orderstatus = 'F' THEN CAST(0 AS DECIMAL(18,2)) "
             f"WHEN o_totalprice >= 6000 THEN {_money('o_totalprice', 12)} END "
             "AS remaining_balance",
+            "o_orderpriority AS loan_type_code",
+            "o_orderstatus AS loan_status_code",
         )
 
     @cached_property
