@@ -73,6 +73,51 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: DuckDB text of a column with only A to Z in lower case.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM benchmark
+), wanted AS (
+    SELECT DISTINCT item_id, size, array_to_string(ws[start:start + size - 1], ' ') AS run
+    FROM (
+        SELECT item_id, ws, least(len(ws), 10) AS size,
+               unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS start
+        FROM items WHERE len(ws) > 0
+    )
+), placed AS (
+    SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM words
+), ahead AS (
+    SELECT doc_id, place, list(word) OVER (
+        PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS following
+    FROM placed
+), found AS (
+    SELECT doc_id, place, wanted.size, item_id
+    FROM (
+        SELECT doc_id, place, size, array_to_string(following[1:size], ' ') AS run
+        FROM ahead, (SELECT DISTINCT size FROM wanted) sizes
+        WHERE len(following) >= size
+    ) runs JOIN wanted ON runs.size = wanted.size AND runs.run = wanted.run
+), hits AS (
+    SELECT doc_id, count(DISTINCT spot) AS n_hit
+    FROM (SELECT doc_id, unnest(range(place, place + size)) AS spot FROM found) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS item_list
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(item_list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets by fixed patterns and by the randomness battery."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -117,6 +162,36 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+OP6_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), placed AS (
+    SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place, len(ws) AS n
+    FROM words
+), windows AS (
+    SELECT doc_id, word, place, place <= n - 19 AS whole, md5(string_agg(word, ' ') OVER (
+        PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) AS run
+    FROM placed
+), judged AS (
+    SELECT doc_id, word, place, whole AND row_number() OVER (
+        PARTITION BY run, whole ORDER BY doc_id, place) > 1 AS again
+    FROM windows
+), covered AS (
+    SELECT doc_id, word, place, bool_or(again) OVER (
+        PARTITION BY doc_id ORDER BY place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+    FROM judged
+), left_over AS (
+    SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+           string_agg(word, ' ' ORDER BY place) FILTER (WHERE NOT gone) AS kept
+    FROM covered GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN left_over USING (doc_id)
+"""
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the piece table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -131,6 +206,42 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP8_SQL = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''),
+        '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), sets AS (
+    SELECT doc_id, list_sort(CASE
+        WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[])
+        WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(
+            range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))
+    END) AS own
+    FROM words
+), classes AS (
+    SELECT doc_id, own, len(own) AS n, CASE WHEN len(own) = 0 THEN doc_id
+        ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(own, chr(10)))) END AS class_id
+    FROM sets
+), entries AS (
+    SELECT class_id, n, unnest(own) AS shingle FROM classes WHERE doc_id = class_id
+), links AS (
+    SELECT a.class_id AS a, b.class_id AS b
+    FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.class_id <> b.class_id
+    GROUP BY a.class_id, b.class_id, a.n, b.n
+    HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+    SELECT DISTINCT class_id, class_id AS other FROM classes
+    UNION
+    SELECT reached.class_id, links.b FROM reached JOIN links ON reached.other = links.a
+), components AS (
+    SELECT class_id, min(other) AS component_id FROM reached GROUP BY class_id
+)
+SELECT doc_id, n AS n_shingles, component_id, class_id
+FROM classes JOIN components USING (class_id)
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document as learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -234,4 +345,10 @@ def registered() -> dict:
 
 
 def oracle_texts() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op11_lexical": OP11_SQL}
+    return {
+        "op1_topk": OP1_SQL,
+        "op3_decontaminate": OP3_SQL,
+        "op6_substrings": OP6_SQL,
+        "op8_jaccard": OP8_SQL,
+        "op11_lexical": OP11_SQL,
+    }
