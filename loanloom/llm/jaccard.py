@@ -39,6 +39,8 @@ PARTS = (100, 85)
 GROUPS, MOST_GROUPS, FULL = 64, 1 << 16, 255
 #: Points in a tile, in a box of the R-tree, and in a tree of several pages.
 TILE, NODE, TREE = 2048, 16, 1 << 16
+#: Pages that a point names, the least of those it is in, so that a pair is given by one of them.
+NAMED = 16
 #: Low bits of a class key that hold the size of its set (or the largest number they can).
 SIZE_BITS = 20
 
@@ -256,7 +258,24 @@ def _page_pairs(table, parts) -> list:
     i, j = tree.pairs(parts)
     across = (pages[1][i] == pages[2][i]) | (tile[i] != tile[j])
     good = across & (component[i] != component[j])
-    return _distinct(ids[i[good]], ids[j[good]])
+    i, j = i[good], j[good]
+    lists = table["named"].combine_chunks()
+    named = np.full((len(ids), NAMED), np.iinfo(np.int64).max)
+    named[np.arange(NAMED) < lists.value_lengths().to_numpy()[:, None]] = lists.flatten().to_numpy()
+    first = ~_met_before(named, i, j, pages[0][i])
+    return _distinct(ids[i[first]], ids[j[first]])
+
+
+def _met_before(named: np.ndarray, i: np.ndarray, j: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """Whether two points are named to meet on a lesser page as well; the least one they have in
+    common never says so."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 13):
+        part = slice(at, at + (1 << 13))
+        left, right = named[i[part]], named[j[part]]
+        lesser = left < page[part, None]
+        out[part] = ((left[:, :, None] == right[:, None, :]) & lesser[:, :, None]).any(axis=(1, 2))
+    return out
 
 
 def _keep_near(batches, parts):
@@ -390,20 +409,36 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, parts) -> DataFrame:
 
 def _open_pages(entries: DataFrame, known: DataFrame, across: bool) -> DataFrame:
     """The points of pages with several components, sorted by page; a large page is cut into
-    tiles, which also meet each other with ``across``."""
+    tiles, which also meet each other with ``across``.
+
+    Documents that share one shingle mostly share many, so of the pages with the same members
+    (by 128 bits of their ids and their number) only one is opened: the others hold no other pair.
+    """
     marked = entries.join(known, "key")
-    pages = marked.groupBy("h").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
-        F.count("*").alias("count"),
-    ).where("low <> high").select("h", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    members = [F.count("*").alias("count"), F.bit_xor(F.xxhash64("id")).alias("one"),
+               F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("two")]
+    pages = (
+        marked.groupBy("h")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), *members)
+        .where("low <> high")
+        .groupBy("count", "one", "two")
+        .agg(F.min("h").alias("h"))
+        .select("h", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    )
     tiled = marked.join(pages, "h").withColumn(
         "tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     )
-    every = F.sequence(F.lit(0), F.col("tiles") - 1) if across else F.array("tile")
+    every, named = F.array("tile"), []
+    if across:
+        every, named = F.sequence(F.lit(0), F.col("tiles") - 1), ["named"]
+        tiled = written(tiled, "open")
+        # At most as many pages as the document has shingles.
+        least = F.slice(F.array_sort(F.collect_set("h")), 1, NAMED)
+        tiled = tiled.join(tiled.groupBy("id").agg(least.alias("named")), "id")
     page = ["h", "first", "second"]
     return tiled.withColumn("other", F.explode(every)).select(
         "h", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"),
-        "tile", "id", "n", "component", "point",
+        "tile", "id", "n", "component", *named, "point",
     ).repartition(*page).sortWithinPartitions(*page)
 
 
