@@ -38,14 +38,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Junk has been judged by the quality stage, so what it left is not weighed against clean
     documents again: every document that is not most likely toxic gets a rate of one or more.
+
+    Adds ``n_tokens``, ``rate`` and ``copies``; a column of the documents with such a name stays
+    and the added one is left out.
     """
     labels = domains_of(table(spark, sf_dir, "labels"))
     domain = F.when(F.col("domain") == "toxic", "toxic").otherwise("kept")
     found = mixing.mix(
         docs, labels.withColumn("domain", domain), {"kept": 1.0, "toxic": 0.0}, kept=("kept",)
     )
+    added = [c for c in ("n_tokens", "rate", "copies") if c not in docs.columns]
     return found.where("copies > 0").select(
-        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "n_tokens", "rate", "copies"
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *added
     )
 
 
