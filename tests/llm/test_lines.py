@@ -132,6 +132,14 @@ def test_no_near_pair_is_missed(spark, edits, monkeypatch):
         assert {(r.x, r.y) for r in near_lines(df, edits).collect()} == expected
 
 
+def test_lines_under_one_id_are_told_apart(spark):
+    """Two different lines whose first 64 bits of hash agree: only the near one is a pair."""
+    line = "the quick brown fox jumps over it"
+    rows = [(1, 10, line), (1, 11, "something else altogether, as long"), (2, 20, line + "s")]
+    found = near_lines(spark.createDataFrame(rows, "id long, id2 long, line string")).collect()
+    assert [(r.x, r.x2, r.y, r.y2) for r in found] == [(1, 10, 2, 20)]
+
+
 def test_odd_rows(spark, odd, empty):
     rows = dedup_lines(odd).collect()
     assert len(rows) == odd.count()

@@ -155,3 +155,24 @@ def test_short_lines_that_repeat_go(spark):
         4: "\n",
         5: "é" * 19 + "\nown words",
     }
+
+
+def test_odd_rows_and_clashing_names(spark, odd, empty, folder):
+    """Null, empty, repeated and very long texts and a null id pass all stages; without labels
+    every document is as good as any, so a threshold above that rejects all of them."""
+    labels = spark.createDataFrame(
+        [(k, 1, 0) for k in range(9)] + [(20, 0, 0), (None, 1, 1)],
+        "doc_id long, quality int, toxic int",
+    )
+    benchmark = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
+    clashing = odd.selectExpr("*", "1.5D AS rate", "'x' AS n_tokens", "lang" if "lang" in
+                              odd.columns else "'en' AS lang", "length(text) AS n_chars")
+    out = corpus_pipeline.run(
+        spark, folder(documents=clashing, labels=labels, benchmark=benchmark))
+    assert out.columns == [*clashing.columns, "copies"]
+    rows = out.collect()
+    assert all(r.rate == 1.5 and r.n_tokens == "x" for r in rows)
+    assert len([r for r in rows if r.text == "same text twice"]) <= 1
+    none = corpus_pipeline.run(
+        spark, folder(documents=empty, labels=labels.limit(0), benchmark=benchmark.limit(0)))
+    assert none.count() == 0
