@@ -123,7 +123,7 @@ SCENARIOS = [
             ],
             "loanInfo": [
                 {"loan_id": "N1", "customer_id": "K1", "loan_type": "Home",
-                 "principal_amount": 200000, "interest_rate": 4, "loan_status": "Active"}
+                 "principal_amount": 731500, "interest_rate": 6, "loan_status": "Active"}
             ],
         },
         "expected_output": {"expected_row_count": 1},
@@ -135,7 +135,7 @@ SCENARIOS = [
             "customerDetails": [{"customer_id": "K2", "first_name": "Ida"}],
             "loanInfo": [
                 {"loan_id": "N2", "customer_id": "K2", "loan_type": "Home",
-                 "interest_rate": 3.5, "loan_status": "Closed"}
+                 "interest_rate": 5.25, "loan_status": "Closed"}
             ],
         },
         "expected_output": {"expected_row_count": 0},
