@@ -111,6 +111,8 @@ def _entries(lines: DataFrame, edits: int, probe: bool, rest: bool) -> DataFrame
     out = []
     for less in range(edits + 1 if probe else 1):
         length = n - less
+        # Texts too short for as many segments are found by their length alone.
+        alone = F.xxhash64("path", length, F.lit(-1))
         for i in range(edits + 1):
             start, size = _segment(length, i, edits)
             low = max(-i, less - (edits - i)) if probe else 0
@@ -118,23 +120,42 @@ def _entries(lines: DataFrame, edits: int, probe: bool, rest: bool) -> DataFrame
             for shift in range(low, high + 1):
                 at = start + shift
                 key = F.xxhash64("path", length, F.lit(i), F.substring("part", at + 1, size))
-                fields = [key.alias("key")]
+                key = F.when(length > edits, key).otherwise(alone)
                 if rest:
                     left = F.substring("part", F.lit(1), at)
                     right = F.substring("part", at + size + 1, n - at - size)
-                    fields.append(F.concat(left, right).alias("rest"))
-                # Texts too short for as many segments are found by their length alone.
-                short = F.struct(
-                    F.xxhash64("path", length, F.lit(-1)).alias("key"),
-                    *([F.col("part").alias("rest")] if rest else []),
-                )
-                out.append(F.when(length > edits, F.struct(*fields)).otherwise(short))
-    entry = F.explode(F.array_distinct(F.array(*out))).alias("e")
-    return lines.select("id", entry).select("e.key", "id", *(["e.rest"] if rest else []))
+                    whole = F.when(length > edits, F.concat(left, right)).otherwise(F.col("part"))
+                    out.append(F.struct(key.alias("key"), whole.alias("rest")))
+                else:
+                    out.append(key)
+    entry = F.explode(F.array_distinct(F.array(*out)))
+    if rest:
+        return lines.select("id", entry.alias("e")).select("e.key", "id", "e.rest")
+    return lines.select(entry.alias("key"), *[c for c in lines.columns if c in ("id", "letters")])
+
+
+def _letters(text: str) -> Column:
+    """For each of 64 classes of characters, whether their number is odd.  An edit changes two of
+    these bits at most."""
+    return F.aggregate(
+        F.split(text, ""),
+        F.lit(0).cast("long"),
+        lambda bits, c: bits.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(63)))
+        ),
+    )
+
+
+def _lines_with(lines: DataFrame, entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """The lines that have an entry under one of the keys: what is left of a line beside a segment
+    is only made for these."""
+    ids = written(entries.join(keys, "key", "left_semi").select("id").distinct(), "crowding")
+    return lines.join(ids, "id", "left_semi")
 
 
 def _met(indexed: DataFrame, probing: DataFrame, edits: int, depth: int = 0) -> DataFrame:
-    """Candidate pairs ``x``, ``y`` of ids; both inputs have id, path and part."""
+    """Candidate pairs ``x``, ``y`` of ids; both inputs have id, path and part, and below a crowded
+    key also the part's ``letters``, which have to be as alike as edits leave them."""
     index = _entries(indexed, edits, probe=False, rest=False)
     probe = _entries(probing, edits, probe=True, rest=False)
     crowded = written(
@@ -143,20 +164,26 @@ def _met(indexed: DataFrame, probing: DataFrame, edits: int, depth: int = 0) ->
     )
     deeper = None
     if depth < DEPTH and not crowded.isEmpty():
-        index = index.join(crowded, "key", "left_anti")
-        probe = probe.join(crowded, "key", "left_anti")
         rests = [
             written(
-                _entries(lines, edits, probe=side, rest=True)
+                _entries(_lines_with(lines, entries, crowded), edits, probe=side, rest=True)
                 .join(crowded, "key", "left_semi")
-                .select("id", F.col("key").alias("path"), F.col("rest").alias("part")),
+                .select("id", F.col("key").alias("path"), F.col("rest").alias("part"),
+                        _letters("rest").alias("letters")),
                 "rest",
             )
-            for lines, side in ((indexed, False), (probing, True))
+            for lines, entries, side in ((indexed, index, False), (probing, probe, True))
         ]
+        index = index.join(crowded, "key", "left_anti")
+        probe = probe.join(crowded, "key", "left_anti")
         deeper = _met(*rests, edits, depth + 1)
-    pairs = index.join(probe.withColumnRenamed("id", "other"), "key").where("id <> other").select(
-        F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")
+    other = [F.col(c).alias(f"other_{c}") for c in probe.columns if c != "key"]
+    met = F.col("id") != F.col("other_id")
+    if "letters" in index.columns:
+        apart = F.bit_count(F.col("letters").bitwiseXOR(F.col("other_letters")))
+        met = met & (apart <= 2 * edits)
+    pairs = index.join(probe.select("key", *other), "key").where(met).select(
+        F.least("id", "other_id").alias("x"), F.greatest("id", "other_id").alias("y")
     )
     return pairs if deeper is None else pairs.unionByName(deeper)
 
@@ -201,14 +228,24 @@ def _mostly_in_place(short: Column, long: Column, edits: int) -> Column:
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``x``, ``y``: ids of all pairs of different ``lines(id, line)`` within ``edits``."""
+    """``x``, ``y``: ids of all pairs of different ``lines(id, line)`` within ``edits``.
+
+    Lines may have a second id, ``id2``; then ``x2`` and ``y2`` tell those of one ``id`` apart.
+    """
+    second = [c for c in lines.columns if c == "id2"]
     parts = lines.select("id", F.lit(0).cast("long").alias("path"), F.col("line").alias("part"))
     pairs = written(_met(parts, parts, edits).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     table = written(_bits(wanted.select(F.xxhash64("id").alias("key"))), "wanted")
-    some = _maybe_in(lines.select("id", "line"), F.xxhash64("id"), table).where("maybe")
-    texts = written(some.select("id", "line").join(wanted, "id", "left_semi"), "candidates")
-    side = lambda id_, name: texts.select(F.col("id").alias(id_), F.col("line").alias(name))
+    own = ["id", *second, "line"]
+    some = _maybe_in(lines.select(*own), F.xxhash64("id"), table).where("maybe")
+    texts = written(some.select(*own).join(wanted, "id", "left_semi"), "candidates")
+    side = lambda id_, name: texts.select(
+        F.col("id").alias(id_),
+        F.col("line").alias(name),
+        *[F.col(c).alias(f"{id_}2") for c in second],
+    )
+    ids = ["x", "y", *[f"{e}2" for e in ("x", "y") if second]]
     both = pairs.join(side("x", "left"), "x").join(side("y", "right"), "y")
     apart = F.abs(F.length("left") - F.length("right"))
     swapped = F.length("left") > F.length("right")
@@ -217,11 +254,11 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     letters = F.struct(*[F.split(c, "").alias(c) for c in ("short", "long")])
     return (
         both.where(apart <= edits)
-        .select("x", "y", short.alias("short"), long.alias("long"))
+        .select(*ids, short.alias("short"), long.alias("long"))
         .where(_mostly_in_place(F.col("short"), F.col("long"), edits))
         # Bound, so that the characters are split once a pair and not once a column.
         .where(_bind(letters, lambda s: within_edits(s["short"], s["long"], edits)))
-        .select("x", "y")
+        .select(*ids)
     )
 
 
@@ -262,8 +299,9 @@ def dedup_lines(
     near = written(near_lines(known.where(compared), edits), "near")
     ids = known.select("id", "id2", "first")
     side = lambda n: ids.select(*[F.col(c).alias(c + n) for c in ids.columns])
-    later = near.join(side("_x"), F.col("x") == F.col("id_x")).join(
-        side("_y"), F.col("y") == F.col("id_y")
+    same = lambda a, b: F.col(a) == F.col(b)
+    later = near.join(side("_x"), same("x", "id_x") & same("x2", "id2_x")).join(
+        side("_y"), same("y", "id_y") & same("y2", "id2_y")
     )
     x_first = F.col("first_x") < F.col("first_y")
     later = later.select(
