@@ -102,36 +102,52 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(i) - plain, F.lit(0)), base + (F.lit(i) >= plain).cast("int")
 
 
-def _entries(lines: DataFrame, edits: int, probe: bool, rest: bool) -> DataFrame:
-    """``key`` and ``id`` of index or probe entries; ``path`` is the key so far, ``part`` the text.
-
-    With ``rest`` also what is left of the text without the segment.
-    """
-    n = F.length("part")
+def _places(edits: int, probe: bool) -> Column:
+    """Which segments are indexed or probed: ``i`` of a line ``less`` shorter, moved by ``shift``."""
     out = []
     for less in range(edits + 1 if probe else 1):
-        length = n - less
-        # Texts too short for as many segments are found by their length alone.
-        alone = F.xxhash64("path", length, F.lit(-1))
         for i in range(edits + 1):
-            start, size = _segment(length, i, edits)
             low = max(-i, less - (edits - i)) if probe else 0
             high = min(i, less + (edits - i)) if probe else 0
             for shift in range(low, high + 1):
-                at = start + shift
-                key = F.xxhash64("path", length, F.lit(i), F.substring("part", at + 1, size))
-                key = F.when(length > edits, key).otherwise(alone)
-                if rest:
-                    left = F.substring("part", F.lit(1), at)
-                    right = F.substring("part", at + size + 1, n - at - size)
-                    whole = F.when(length > edits, F.concat(left, right)).otherwise(F.col("part"))
-                    out.append(F.struct(key.alias("key"), whole.alias("rest")))
-                else:
-                    out.append(key)
-    entry = F.explode(F.array_distinct(F.array(*out)))
+                place = {"less": less, "i": i, "shift": shift}
+                out.append(F.struct(*[F.lit(v).alias(k) for k, v in place.items()]))
+    return F.array(*out)
+
+
+def _entries(lines: DataFrame, edits: int, probe: bool, rest: bool) -> DataFrame:
+    """``key`` and ``id`` of index or probe entries; ``path`` is the key so far, ``part`` the text.
+
+    With ``rest`` also what is left of the text without the segment.
+    """
+    n, i = F.col("n"), range(edits + 1)
+    starts = [[_segment(n - k, j, edits)[0] for j in i] for k in (i if probe else [0])]
+    # Columns of their own, as each length of a text is a pass over it.
+    lines = lines.withColumn("n", F.length("part")).withColumn(
+        "starts", F.array(*[F.array(*s, n - k) for k, s in enumerate(starts)])
+    )
+
+    def entry(place: Column) -> Column:
+        length, i = n - place["less"], place["i"]
+        own = F.get("starts", place["less"])
+        start = F.get(own, i)
+        size, at = F.get(own, i + 1) - start, start + place["shift"]
+        key = F.xxhash64("path", length, i, F.substring("part", at + 1, size))
+        # Texts too short for as many segments are found by their length alone.
+        key = F.when(length > edits, key).otherwise(F.xxhash64("path", length, F.lit(-1)))
+        if not rest:
+            return key
+        left = F.substring("part", F.lit(1), at)
+        right = F.substring("part", at + size + 1, n - at - size)
+        whole = F.when(length > edits, F.concat(left, right)).otherwise(F.col("part"))
+        return F.struct(key.alias("key"), whole.alias("rest"))
+
+    # One expression over a list of places: written out for each, the code of a row would be too
+    # long to be compiled.
+    found = F.explode(F.array_distinct(F.transform(_places(edits, probe), entry)))
     if rest:
-        return lines.select("id", entry.alias("e")).select("e.key", "id", "e.rest")
-    return lines.select(entry.alias("key"), *[c for c in lines.columns if c in ("id", "letters")])
+        return lines.select("id", found.alias("e")).select("e.key", "id", "e.rest")
+    return lines.select(found.alias("key"), *[c for c in lines.columns if c in ("id", "letters")])
 
 
 def _letters(text: str) -> Column:
@@ -216,15 +232,17 @@ def _maybe_in(df: DataFrame, key: Column, table: DataFrame) -> DataFrame:
     )
 
 
-def _mostly_in_place(short: Column, long: Column, edits: int) -> Column:
-    """Whether all but ``edits`` of the small segments stand at most ``edits`` from their place."""
-    n = F.length(short)
-    found = F.lit(0)
-    for k in range(SMALL):
+def _mostly_in_place(short: Column, n: Column, long: Column, edits: int) -> Column:
+    """Whether all but ``edits`` of the small segments of ``short``, ``n`` characters long, stand at
+    most ``edits`` from their place."""
+
+    def stands(k: Column) -> Column:
         start, end = F.floor(n * k / SMALL).cast("int"), F.floor(n * (k + 1) / SMALL).cast("int")
         near = F.substring(long, F.greatest(start - edits, F.lit(0)) + 1, end - start + 2 * edits)
-        found = found + (F.instr(near, F.substring(short, start + 1, end - start)) > 0).cast("int")
-    return found >= SMALL - edits
+        return F.instr(near, F.substring(short, start + 1, end - start)) > 0
+
+    segments = F.array(*[F.lit(k) for k in range(SMALL)])
+    return F.size(F.filter(segments, stands)) >= SMALL - edits
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -239,23 +257,24 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     table = written(_bits(wanted.select(F.xxhash64("id").alias("key"))), "wanted")
     own = ["id", *second, "line"]
     some = _maybe_in(lines.select(*own), F.xxhash64("id"), table).where("maybe")
-    texts = written(some.select(*own).join(wanted, "id", "left_semi"), "candidates")
+    texts = some.select(*own).join(wanted, "id", "left_semi").withColumn("n", F.length("line"))
+    texts = written(texts, "candidates")
     side = lambda id_, name: texts.select(
         F.col("id").alias(id_),
         F.col("line").alias(name),
+        F.col("n").alias(f"n_{id_}"),
         *[F.col(c).alias(f"{id_}2") for c in second],
     )
     ids = ["x", "y", *[f"{e}2" for e in ("x", "y") if second]]
     both = pairs.join(side("x", "left"), "x").join(side("y", "right"), "y")
-    apart = F.abs(F.length("left") - F.length("right"))
-    swapped = F.length("left") > F.length("right")
+    swapped = F.col("n_x") > F.col("n_y")
     short = F.when(swapped, F.col("right")).otherwise(F.col("left"))
     long = F.when(swapped, F.col("left")).otherwise(F.col("right"))
     letters = F.struct(*[F.split(c, "").alias(c) for c in ("short", "long")])
     return (
-        both.where(apart <= edits)
-        .select(*ids, short.alias("short"), long.alias("long"))
-        .where(_mostly_in_place(F.col("short"), F.col("long"), edits))
+        both.where(F.abs(F.col("n_x") - F.col("n_y")) <= edits)
+        .select(*ids, short.alias("short"), long.alias("long"), F.least("n_x", "n_y").alias("n"))
+        .where(_mostly_in_place(F.col("short"), F.col("n"), F.col("long"), edits))
         # Bound, so that the characters are split once a pair and not once a column.
         .where(_bind(letters, lambda s: within_edits(s["short"], s["long"], edits)))
         .select(*ids)
@@ -321,7 +340,8 @@ def dedup_lines(
     gone = written(gone, "gone")
     table = written(_bits(gone.select(F.xxhash64("doc", "tag").alias("key"))), "losing")
     told = _maybe_in(keyed, F.xxhash64("doc", "tag"), table)
-    n_lines = F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0)
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.octet_length("text") > 0, breaks + 1).otherwise(0)
     result = lambda df: df.select(
         "row",
         n_lines.cast("long").alias("n_lines"),
