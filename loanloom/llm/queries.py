@@ -148,7 +148,7 @@ def domains_of(labels: DataFrame) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is wanted so that domains reach their shares of tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed = mix(docs, domains_of(table(spark, sf_dir, "labels")), TARGETS)
+    mixed = mix(docs, domains_of(table(spark, sf_dir, "labels")), TARGETS, exact=True)
     return mixed.select(
         "row.doc_id", "n_tokens",
         *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(sorted(TARGETS))],

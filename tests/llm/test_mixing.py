@@ -79,6 +79,26 @@ def test_brute_force_gradient_steps(spark, corpus):
     assert np.abs((n * rate) @ p / total - want).max() < 0.01
 
 
+def test_exact_fit_reaches_the_optimum(spark, corpus):
+    """No target is further off than after many plain steps, whose sum of squares is no lower."""
+    docs, labels, _ = corpus
+    targets = {"clean": 0.95, "junk": 0.05, "toxic": 0.0}
+    rows = mix(docs, queries.domains_of(labels), targets, exact=True).collect()
+    p = np.array([r.p for r in rows])
+    n = np.array([r.n_tokens for r in rows], float)
+    want, total = np.array([targets[d] for d in sorted(targets)]), n.sum()
+    gram = (p * n[:, None]).T @ p / total
+    weight = 1 / np.diag(gram)
+    steepest = (gram * np.sqrt(np.outer(weight, weight))).sum(axis=1).max()
+    step = np.zeros(3)
+    for _ in range(20_000):
+        missed = (n * np.maximum(0, 1 - p @ step)) @ p / total - want
+        step += weight * missed / steepest
+    got = (n * np.array([r.rate for r in rows])) @ p / total - want
+    assert np.abs(got).max() < np.abs(missed).max() + 0.002
+    assert (np.array([r.rate for r in rows]) >= 0).all()
+
+
 def test_small_posteriors_count(spark, corpus):
     """A domain that is unlikely everywhere keeps its tokens and its target."""
     docs, labels, _ = corpus
