@@ -29,7 +29,7 @@ LEAST_CHARS = 20
 #: Small segments of which all but ``edits`` have to be in place before a pair is verified.
 SMALL = 16
 #: Index entries of a key from which it is refined, and how often at most.  Neither drops a pair.
-CROWDED, DEPTH = 64, 3
+CROWDED, DEPTH = 16, 3
 #: Bits of the table of documents, 64 to a row.
 TABLE_BITS = 1 << 22
 
@@ -45,11 +45,12 @@ def within_edits(left: Column, right: Column, edits: int) -> Column:
     """Whether two arrays of characters are within ``edits``, the first being no longer.
 
     Bit b of column j stands for row j - edits + b of the matrix, so a word of 2 * edits + 1 bits
-    moves down the band.  ``dist`` follows the lowest row of the band until that is the last row,
-    then the last row.  Needs at least ``edits`` characters and lengths that differ by no more.
+    moves down the band.  ``dist`` follows the diagonal that ends in the last cell.  Along it values
+    never fall, so beyond ``edits`` the columns that are left are passed over.  Needs at least
+    ``edits`` characters and lengths that differ by no more.
     """
     width = 2 * edits + 1
-    ones, top = (1 << width) - 1, 1 << (width - 1)
+    ones = (1 << width) - 1
     m, n = F.size(left), F.size(right)
     inverse = lambda x: x.bitwiseXOR(F.lit(ones))
 
@@ -72,24 +73,19 @@ def within_edits(left: Column, right: Column, edits: int) -> Column:
 
         def after(s: Column) -> Column:
             below = F.shiftright(s["d"], 1)
-            row = m - j + edits  # the bit of the last row, once it is in the band
-            at = lambda x: F.call_function("shiftright", x, row).bitwiseAND(F.lit(1))
-            diagonal = F.when(s["d"].bitwiseAND(F.lit(top)) == 0, 1).otherwise(0)
-            dist = state["dist"] + F.when(j <= m - edits, diagonal).otherwise(
-                (at(s["up"]) - at(s["down"])).cast("int")
-            )
+            level = F.call_function("shiftright", s["d"], edits - n + m).bitwiseAND(F.lit(1))
             return F.struct(
                 s["down"].bitwiseOR(inverse(below.bitwiseOR(s["up"]))).alias("vp"),
                 below.bitwiseAND(s["up"]).alias("vn"),
-                dist.alias("dist"),
+                (state["dist"] + F.when((j > n - m) & (level == 0), 1).otherwise(0)).alias("dist"),
             )
 
-        return _bind(hits, deltas)
+        return F.when(state["dist"] > edits, state).otherwise(_bind(hits, deltas))
 
     start = F.struct(
         F.lit(ones & ~((1 << edits) - 1)).cast("long").alias("vp"),
         F.lit(0).cast("long").alias("vn"),
-        F.lit(edits).alias("dist"),
+        (n - m).alias("dist"),
     )
     return F.aggregate(F.sequence(F.lit(1), n), start, column, lambda s: s["dist"] <= edits)
 
@@ -102,106 +98,136 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(i) - plain, F.lit(0)), base + (F.lit(i) >= plain).cast("int")
 
 
-def _places(edits: int, probe: bool) -> Column:
+def _places(edits: int, probe: bool) -> list[tuple[int, int, int]]:
     """Which segments are indexed or probed: ``i`` of a line ``less`` shorter, moved by ``shift``."""
     out = []
     for less in range(edits + 1 if probe else 1):
         for i in range(edits + 1):
             low = max(-i, less - (edits - i)) if probe else 0
             high = min(i, less + (edits - i)) if probe else 0
-            for shift in range(low, high + 1):
-                place = {"less": less, "i": i, "shift": shift}
-                out.append(F.struct(*[F.lit(v).alias(k) for k, v in place.items()]))
-    return F.array(*out)
+            out += [(less, i, shift) for shift in range(low, high + 1)]
+    return out
 
 
 def _entries(lines: DataFrame, edits: int, probe: bool, rest: bool) -> DataFrame:
-    """``key`` and ``id`` of index or probe entries; ``path`` is the key so far, ``part`` the text.
+    """``key`` and ``id`` of index or probe entries; ``path`` is the key so far, ``part`` the text,
+    four bytes a character.
 
     With ``rest`` also what is left of the text without the segment.
     """
     n, i = F.col("n"), range(edits + 1)
-    starts = [[_segment(n - k, j, edits)[0] for j in i] for k in (i if probe else [0])]
-    # Columns of their own, as each length of a text is a pass over it.
-    lines = lines.withColumn("n", F.length("part")).withColumn(
-        "starts", F.array(*[F.array(*s, n - k) for k, s in enumerate(starts)])
-    )
-
-    def entry(place: Column) -> Column:
-        length, i = n - place["less"], place["i"]
-        own = F.get("starts", place["less"])
-        start = F.get(own, i)
-        size, at = F.get(own, i + 1) - start, start + place["shift"]
-        key = F.xxhash64("path", length, i, F.substring("part", at + 1, size))
+    starts = {
+        f"start_{k}_{j}": _segment(n - k, j, edits)[0] if j <= edits else n - k
+        for k in (i if probe else [0]) for j in range(edits + 2)
+    }
+    # Columns of their own, so that the code of a row stays short enough to be compiled.
+    lines = lines.withColumn("n", _length("part")).withColumns(starts)
+
+    def entry(less: int, i: int, shift: int) -> Column:
+        length, start = n - less, F.col(f"start_{less}_{i}")
+        size, at = F.col(f"start_{less}_{i + 1}") - start, start + shift
+        key = F.xxhash64("path", length, F.lit(i), F.substring("part", at * 4 + 1, size * 4))
         # Texts too short for as many segments are found by their length alone.
         key = F.when(length > edits, key).otherwise(F.xxhash64("path", length, F.lit(-1)))
         if not rest:
             return key
-        left = F.substring("part", F.lit(1), at)
-        right = F.substring("part", at + size + 1, n - at - size)
+        left = F.substring("part", F.lit(1), at * 4)
+        right = F.substring("part", (at + size) * 4 + 1, (n - at - size) * 4)
         whole = F.when(length > edits, F.concat(left, right)).otherwise(F.col("part"))
         return F.struct(key.alias("key"), whole.alias("rest"))
 
-    # One expression over a list of places: written out for each, the code of a row would be too
-    # long to be compiled.
-    found = F.explode(F.array_distinct(F.transform(_places(edits, probe), entry)))
+    found = F.explode(F.array_distinct(F.array(*[entry(*p) for p in _places(edits, probe)])))
     if rest:
-        return lines.select("id", found.alias("e")).select("e.key", "id", "e.rest")
+        return lines.select("id", "letters", found.alias("e")).select(
+            "e.key", "id", "letters", "e.rest"
+        )
     return lines.select(found.alias("key"), *[c for c in lines.columns if c in ("id", "letters")])
 
 
-def _letters(text: str) -> Column:
-    """For each of 64 classes of characters, whether their number is odd.  An edit changes two of
-    these bits at most."""
-    return F.aggregate(
-        F.split(text, ""),
-        F.lit(0).cast("long"),
-        lambda bits, c: bits.bitwiseXOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(63)))
-        ),
+def _length(part: str) -> Column:
+    return (F.octet_length(part) / 4).cast("int")
+
+
+def _letters(text: Column) -> Column:
+    """Whether the number of characters is odd, for each of 64 classes of them (``one``) and of two
+    that follow each other (``two``).  An edit changes two bits of the first at most, and four of
+    the second."""
+
+    def flipped(bits: Column, at: Column) -> Column:
+        at = at.bitwiseAND(F.lit(63))
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
+
+    def step(state: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.struct(
+            flipped(state["one"], code).alias("one"),
+            flipped(state["two"], state["last"] * 31 + code).alias("two"),
+            code.bitwiseAND(F.lit(0xFFFF)).alias("last"),
+        )
+
+    start = F.struct(
+        F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"),
+        F.lit(0).alias("last"),
     )
+    bits = lambda s: F.struct(s["one"].alias("one"), s["two"].alias("two"))
+    return F.aggregate(F.split(text, ""), start, step, bits)
 
 
-def _lines_with(lines: DataFrame, entries: DataFrame, keys: DataFrame) -> DataFrame:
-    """The lines that have an entry under one of the keys: what is left of a line beside a segment
-    is only made for these."""
-    ids = written(entries.join(keys, "key", "left_semi").select("id").distinct(), "crowding")
-    return lines.join(ids, "id", "left_semi")
+def _alike(letters: str, others: str, edits: int) -> Column:
+    apart = lambda c: F.bit_count(F.col(f"{letters}.{c}").bitwiseXOR(F.col(f"{others}.{c}")))
+    return (apart("one") <= 2 * edits) & (apart("two") <= 4 * edits)
 
 
 def _met(indexed: DataFrame, probing: DataFrame, edits: int, depth: int = 0) -> DataFrame:
     """Candidate pairs ``x``, ``y`` of ids; both inputs have id, path and part, and below a crowded
-    key also the part's ``letters``, which have to be as alike as edits leave them."""
+    key also the ``letters`` of the whole line, which have to be as alike as edits leave them."""
     index = _entries(indexed, edits, probe=False, rest=False)
     probe = _entries(probing, edits, probe=True, rest=False)
-    crowded = written(
-        index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key"),
-        "crowded",
-    )
-    deeper = None
-    if depth < DEPTH and not crowded.isEmpty():
-        rests = [
-            written(
-                _entries(_lines_with(lines, entries, crowded), edits, probe=side, rest=True)
-                .join(crowded, "key", "left_semi")
-                .select("id", F.col("key").alias("path"), F.col("rest").alias("part"),
-                        _letters("rest").alias("letters")),
-                "rest",
-            )
-            for lines, entries, side in ((indexed, index, False), (probing, probe, True))
-        ]
-        index = index.join(crowded, "key", "left_anti")
-        probe = probe.join(crowded, "key", "left_anti")
-        deeper = _met(*rests, edits, depth + 1)
+    some = depth < DEPTH
+    if some:
+        # What is left of a text that is too short for segments can't be told apart any further.
+        counted = _entries(indexed.where(_length("part") > edits), edits, probe=False, rest=False)
+        counted = counted.groupBy("key").agg(F.count("*").alias("n"))
+        crowded = written(counted.where(F.col("n") > CROWDED).select("key"), "crowded")
+        some = not crowded.isEmpty()
+    if some:
+        # A crowded key stands once without an id and meets the lines that have to be refined:
+        # those that probe it, and so all that are indexed under it.
+        index = index.join(crowded, "key", "left_anti").unionByName(
+            crowded.select("key"), allowMissingColumns=True
+        )
     other = [F.col(c).alias(f"other_{c}") for c in probe.columns if c != "key"]
     met = F.col("id") != F.col("other_id")
     if "letters" in index.columns:
-        apart = F.bit_count(F.col("letters").bitwiseXOR(F.col("other_letters")))
-        met = met & (apart <= 2 * edits)
-    pairs = index.join(probe.select("key", *other), "key").where(met).select(
-        F.least("id", "other_id").alias("x"), F.greatest("id", "other_id").alias("y")
+        met = met & _alike("letters", "other_letters", edits)
+    found = index.join(probe.select("key", *other), "key").where(F.col("id").isNull() | met)
+    found = found.select(
+        F.least("id", "other_id").alias("x"),
+        F.greatest("id", "other_id").alias("y"),
+        F.col("id").isNull().alias("crowded"),
     )
-    return pairs if deeper is None else pairs.unionByName(deeper)
+    if not some:
+        return found.select("x", "y")
+    found = written(found.distinct(), "met")
+    ids = found.where("crowded").select(F.col("x").alias("id"))
+    again = [indexed] if indexed is probing else [indexed, probing]
+    again = [written(_lettered(df.join(ids, "id", "left_semi")), "crowding") for df in again]
+    rests = [
+        written(
+            _entries(lines, edits, probe=side, rest=True)
+            .join(crowded, "key", "left_semi")
+            .select("id", F.col("key").alias("path"), F.col("rest").alias("part"), "letters"),
+            "rest",
+        )
+        for lines, side in ((again[0], False), (again[-1], True))
+    ]
+    return found.where("NOT crowded").select("x", "y").unionByName(_met(*rests, edits, depth + 1))
+
+
+def _lettered(lines: DataFrame) -> DataFrame:
+    if "letters" in lines.columns:
+        return lines
+    return lines.withColumn("letters", _letters(F.decode("part", "UTF-32")))
 
 
 def _bits(keys: DataFrame) -> DataFrame:
@@ -245,13 +271,25 @@ def _mostly_in_place(short: Column, n: Column, long: Column, edits: int) -> Colu
     return F.size(F.filter(segments, stands)) >= SMALL - edits
 
 
+def _same_start(short: str, long: str, n: Column) -> Column:
+    """How many of the first ``n`` characters are the same, by halving."""
+
+    def further(at: Column, step: Column) -> Column:
+        equal = F.substring(short, at + 1, step) == F.substring(long, at + 1, step)
+        return F.when((at <= n - step) & equal, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << b) for b in range(30, -1, -1)]), F.lit(0), further)
+
+
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """``x``, ``y``: ids of all pairs of different ``lines(id, line)`` within ``edits``.
 
     Lines may have a second id, ``id2``; then ``x2`` and ``y2`` tell those of one ``id`` apart.
     """
     second = [c for c in lines.columns if c == "id2"]
-    parts = lines.select("id", F.lit(0).cast("long").alias("path"), F.col("line").alias("part"))
+    # With four bytes a character a segment is cut out without counting characters.
+    part = F.encode("line", "UTF-32").alias("part")
+    parts = lines.select("id", F.lit(0).cast("long").alias("path"), part)
     pairs = written(_met(parts, parts, edits).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     table = written(_bits(wanted.select(F.xxhash64("id").alias("key"))), "wanted")
@@ -270,11 +308,15 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     swapped = F.col("n_x") > F.col("n_y")
     short = F.when(swapped, F.col("right")).otherwise(F.col("left"))
     long = F.when(swapped, F.col("left")).otherwise(F.col("right"))
-    letters = F.struct(*[F.split(c, "").alias(c) for c in ("short", "long")])
+    # A line keeps the ``edits`` characters that the distance needs.
+    same = F.least(_same_start("short", "long", F.col("n")), F.col("n") - edits)
+    rest = lambda c: F.split(F.substring(c, F.col("same") + 1, F.length(c)), "")
+    letters = F.struct(*[rest(c).alias(c) for c in ("short", "long")])
     return (
         both.where(F.abs(F.col("n_x") - F.col("n_y")) <= edits)
         .select(*ids, short.alias("short"), long.alias("long"), F.least("n_x", "n_y").alias("n"))
         .where(_mostly_in_place(F.col("short"), F.col("n"), F.col("long"), edits))
+        .withColumn("same", same)
         # Bound, so that the characters are split once a pair and not once a column.
         .where(_bind(letters, lambda s: within_edits(s["short"], s["long"], edits)))
         .select(*ids)
@@ -355,9 +397,12 @@ def dedup_lines(
 
 
 def _without(text: str, gone: str) -> Column:
-    lines = F.split(text, "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    return F.array_join(F.transform(keep, lambda k: F.get(lines, k)), "\n")
+    def joined(lines: Column) -> Column:
+        keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+        return F.array_join(F.transform(keep, lambda k: F.get(lines, k)), "\n")
+
+    # Bound, so that the text is split once and not once a line.
+    return _bind(F.split(text, "\n"), joined)
 
 
 def keep_lines(

@@ -2,13 +2,23 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from loanloom.llm import lines as module
 from loanloom.llm import queries
-from loanloom.llm.lines import _segment, dedup_lines, keep_lines, near_lines, within_edits
+from loanloom.llm.lines import (
+    _alike,
+    _letters,
+    _same_start,
+    _segment,
+    dedup_lines,
+    keep_lines,
+    near_lines,
+    within_edits,
+)
 
 
 def distance(a, b):
@@ -132,6 +142,60 @@ def test_no_near_pair_is_missed(spark, edits, monkeypatch):
         assert {(r.x, r.y) for r in near_lines(df, edits).collect()} == expected
 
 
+def test_near_copies_give_few_candidates(spark, monkeypatch):
+    """Lines with four words of one line replaced share segments and are not near: pairs to verify
+    stay close to the lines, and no near pair goes."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    stem = [word() for _ in range(60)]
+    known = set()
+    while len(known) < 400:
+        own = list(stem)
+        for at in rng.sample(range(60), 4):
+            own[at] = word()
+        known.add(" ".join(own))
+    known = sorted(known)
+    known += [known[k][:40] + known[k][42:] for k in range(0, 400, 50)]
+    made, real = {}, module.written
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(module, "written", counted)
+    df = spark.createDataFrame(list(enumerate(known)), "id long, line string")
+    found = {(r.x, r.y) for r in near_lines(df).collect()}
+    # Like lines of one length or up to two less; distances are only taken of those.
+    assert found == {
+        (i, j) for i in range(len(known)) for j in range(i + 1, len(known))
+        if sum(a != b for a, b in zip(known[i], known[j])) <= 2 and len(known[i]) == len(known[j])
+        or len(known[i]) != len(known[j]) and distance(known[i], known[j]) <= 2
+    }
+    assert len(found) >= 8 and made["pairs"] <= 10 * len(known)
+
+
+def test_letters_of_near_lines_are_alike(spark):
+    rng = random.Random(8)
+    alphabet = "abcdé日\U0001f600"
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice(alphabet) for _ in range(rng.randint(3, 30)))
+        rows.append((a, edited(rng, a, 2, alphabet)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    df = df.select("a", "b", _letters(F.col("a")).alias("l"), _letters(F.col("b")).alias("r"))
+    assert df.where(~_alike("l", "r", 2)).count() == 0
+    other = spark.createDataFrame([("a line of text", "quite another")], "a string, b string")
+    other = other.select(_letters(F.col("a")).alias("l"), _letters(F.col("b")).alias("r"))
+    assert other.where(_alike("l", "r", 2)).count() == 0
+
+
+def test_same_start(spark):
+    rows = [("", "a", 0), ("a", "b", 0), ("é日x", "é日y", 2), ("abc", "abcde", 3), ("a" * 500 + "b", "a" * 502, 500)]
+    df = spark.createDataFrame(rows, "a string, b string, same int")
+    assert df.where(_same_start("a", "b", F.length("a")) != F.col("same")).count() == 0
+
+
 def test_lines_under_one_id_are_told_apart(spark):
     """Two different lines whose first 64 bits of hash agree: only the near one is a pair."""
     line = "the quick brown fox jumps over it"
@@ -158,3 +222,13 @@ def test_odd_rows(spark, odd, empty):
 def test_no_python_runs(spark, odd):
     plan = dedup_lines(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_a_text_is_split_once(spark):
+    """Taking lines out of a long text grows with its lines, not with their square."""
+    text = "\n".join(f"{k} is one of many lines of this text" for k in range(20_000))
+    df = spark.createDataFrame([(text, [0, 19_999])], "text string, gone array<int>")
+    begun = time.monotonic()
+    kept = df.select(module._without("text", "gone").alias("kept")).first().kept
+    assert kept == "\n".join(text.split("\n")[1:-1])
+    assert time.monotonic() - begun < 15
