@@ -111,7 +111,7 @@ def _places(edits: int, probe: bool) -> list[tuple[int, int, int]]:
 
 def _entries(lines: DataFrame, edits: int, probe: bool, rest: bool) -> DataFrame:
     """``key`` and ``id`` of index or probe entries; ``path`` is the key so far, ``part`` the text,
-    four bytes a character.
+    four bytes a character, so that segments are cut out without counting characters.
 
     With ``rest`` also what is left of the text without the segment.
     """
@@ -121,7 +121,7 @@ def _entries(lines: DataFrame, edits: int, probe: bool, rest: bool) -> DataFrame
         for k in (i if probe else [0]) for j in range(edits + 2)
     }
     # Columns of their own, so that the code of a row stays short enough to be compiled.
-    lines = lines.withColumn("n", _length("part")).withColumns(starts)
+    lines = _coded(lines).withColumn("n", _length("part")).withColumns(starts)
 
     def entry(less: int, i: int, shift: int) -> Column:
         length, start = n - less, F.col(f"start_{less}_{i}")
@@ -144,6 +144,12 @@ def _entries(lines: DataFrame, edits: int, probe: bool, rest: bool) -> DataFrame
     return lines.select(found.alias("key"), *[c for c in lines.columns if c in ("id", "letters")])
 
 
+def _coded(lines: DataFrame) -> DataFrame:
+    if "part" in lines.columns:
+        return lines
+    return lines.withColumn("part", F.encode("line", "UTF-32")).drop("line")
+
+
 def _length(part: str) -> Column:
     return (F.octet_length(part) / 4).cast("int")
 
@@ -179,14 +185,16 @@ def _alike(letters: str, others: str, edits: int) -> Column:
 
 
 def _met(indexed: DataFrame, probing: DataFrame, edits: int, depth: int = 0) -> DataFrame:
-    """Candidate pairs ``x``, ``y`` of ids; both inputs have id, path and part, and below a crowded
-    key also the ``letters`` of the whole line, which have to be as alike as edits leave them."""
+    """Candidate pairs ``x``, ``y`` of ids; both inputs have id, path and line, below a crowded key
+    part instead and the ``letters`` of the whole line, which have to be as alike as edits leave
+    them."""
     index = _entries(indexed, edits, probe=False, rest=False)
     probe = _entries(probing, edits, probe=True, rest=False)
     some = depth < DEPTH
     if some:
         # What is left of a text that is too short for segments can't be told apart any further.
-        counted = _entries(indexed.where(_length("part") > edits), edits, probe=False, rest=False)
+        size = _length("part") if depth else F.length("line")
+        counted = _entries(indexed.where(size > edits), edits, probe=False, rest=False)
         counted = counted.groupBy("key").agg(F.count("*").alias("n"))
         crowded = written(counted.where(F.col("n") > CROWDED).select("key"), "crowded")
         some = not crowded.isEmpty()
@@ -209,9 +217,10 @@ def _met(indexed: DataFrame, probing: DataFrame, edits: int, depth: int = 0) ->
     if not some:
         return found.select("x", "y")
     found = written(found.distinct(), "met")
-    ids = found.where("crowded").select(F.col("x").alias("id"))
+    ids = written(found.where("crowded").select(F.col("x").alias("id")).distinct(), "refined")
+    table = written(_bits(ids.select(F.xxhash64("id").alias("key"))), "refining")
     again = [indexed] if indexed is probing else [indexed, probing]
-    again = [written(_lettered(df.join(ids, "id", "left_semi")), "crowding") for df in again]
+    again = [written(_lettered(_those(lines, ids, table)), "crowding") for lines in again]
     rests = [
         written(
             _entries(lines, edits, probe=side, rest=True)
@@ -227,7 +236,7 @@ def _met(indexed: DataFrame, probing: DataFrame, edits: int, depth: int = 0) ->
 def _lettered(lines: DataFrame) -> DataFrame:
     if "letters" in lines.columns:
         return lines
-    return lines.withColumn("letters", _letters(F.decode("part", "UTF-32")))
+    return _coded(lines.withColumn("letters", _letters(F.col("line"))))
 
 
 def _bits(keys: DataFrame) -> DataFrame:
@@ -258,6 +267,12 @@ def _maybe_in(df: DataFrame, key: Column, table: DataFrame) -> DataFrame:
     )
 
 
+def _those(lines: DataFrame, ids: DataFrame, table: DataFrame) -> DataFrame:
+    """The lines with one of the ids, which the table holds: others are not shuffled."""
+    some = _maybe_in(lines, F.xxhash64("id"), table).where("maybe")
+    return some.select(*lines.columns).join(ids, "id", "left_semi")
+
+
 def _mostly_in_place(short: Column, n: Column, long: Column, edits: int) -> Column:
     """Whether all but ``edits`` of the small segments of ``short``, ``n`` characters long, stand at
     most ``edits`` from their place."""
@@ -287,16 +302,12 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     Lines may have a second id, ``id2``; then ``x2`` and ``y2`` tell those of one ``id`` apart.
     """
     second = [c for c in lines.columns if c == "id2"]
-    # With four bytes a character a segment is cut out without counting characters.
-    part = F.encode("line", "UTF-32").alias("part")
-    parts = lines.select("id", F.lit(0).cast("long").alias("path"), part)
+    parts = lines.select("id", F.lit(0).cast("long").alias("path"), "line")
     pairs = written(_met(parts, parts, edits).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     table = written(_bits(wanted.select(F.xxhash64("id").alias("key"))), "wanted")
-    own = ["id", *second, "line"]
-    some = _maybe_in(lines.select(*own), F.xxhash64("id"), table).where("maybe")
-    texts = some.select(*own).join(wanted, "id", "left_semi").withColumn("n", F.length("line"))
-    texts = written(texts, "candidates")
+    texts = _those(lines.select("id", *second, "line"), wanted, table)
+    texts = written(texts.withColumn("n", F.length("line")), "candidates")
     side = lambda id_, name: texts.select(
         F.col("id").alias(id_),
         F.col("line").alias(name),
