@@ -113,7 +113,7 @@ def _entries(lines: DataFrame, edits: int, probe: bool, rest: bool) -> DataFrame
     """``key`` and ``id`` of index or probe entries; ``path`` is the key so far, ``part`` the text,
     four bytes a character, so that segments are cut out without counting characters.
 
-    With ``rest`` also what is left of the text without the segment.
+    With ``rest`` also what is left of the text without the segment, for entries under ``keys``.
     """
     n, i = F.col("n"), range(edits + 1)
     starts = {
@@ -136,12 +136,14 @@ def _entries(lines: DataFrame, edits: int, probe: bool, rest: bool) -> DataFrame
         whole = F.when(length > edits, F.concat(left, right)).otherwise(F.col("part"))
         return F.struct(key.alias("key"), whole.alias("rest"))
 
-    found = F.explode(F.array_distinct(F.array(*[entry(*p) for p in _places(edits, probe)])))
+    found = F.array_distinct(F.array(*[entry(*p) for p in _places(edits, probe)]))
     if rest:
-        return lines.select("id", "letters", found.alias("e")).select(
+        found = F.filter(found, lambda e: F.array_contains("keys", e["key"]))
+        return lines.select("id", "letters", F.explode(found).alias("e")).select(
             "e.key", "id", "letters", "e.rest"
         )
-    return lines.select(found.alias("key"), *[c for c in lines.columns if c in ("id", "letters")])
+    kept = [c for c in lines.columns if c in ("id", "letters")]
+    return lines.select(F.explode(found).alias("key"), *kept)
 
 
 def _coded(lines: DataFrame) -> DataFrame:
@@ -212,25 +214,26 @@ def _met(indexed: DataFrame, probing: DataFrame, edits: int, depth: int = 0) ->
     found = found.select(
         F.least("id", "other_id").alias("x"),
         F.greatest("id", "other_id").alias("y"),
-        F.col("id").isNull().alias("crowded"),
+        F.when(F.col("id").isNull(), F.col("key")).alias("crowded"),
     )
     if not some:
         return found.select("x", "y")
     found = written(found.distinct(), "met")
-    ids = written(found.where("crowded").select(F.col("x").alias("id")).distinct(), "refined")
-    table = written(_bits(ids.select(F.xxhash64("id").alias("key"))), "refining")
+    keys = found.where("crowded IS NOT NULL").groupBy(F.col("x").alias("id"))
+    keys = written(keys.agg(F.collect_set("crowded").alias("keys")), "refined")
+    table = written(_bits(keys.select(F.xxhash64("id").alias("key"))), "refining")
     again = [indexed] if indexed is probing else [indexed, probing]
-    again = [written(_lettered(_those(lines, ids, table)), "crowding") for lines in again]
+    again = [written(_lettered(_those(df, keys, table, "inner")), "crowding") for df in again]
     rests = [
         written(
             _entries(lines, edits, probe=side, rest=True)
-            .join(crowded, "key", "left_semi")
             .select("id", F.col("key").alias("path"), F.col("rest").alias("part"), "letters"),
             "rest",
         )
         for lines, side in ((again[0], False), (again[-1], True))
     ]
-    return found.where("NOT crowded").select("x", "y").unionByName(_met(*rests, edits, depth + 1))
+    pairs = found.where("crowded IS NULL").select("x", "y")
+    return pairs.unionByName(_met(*rests, edits, depth + 1))
 
 
 def _lettered(lines: DataFrame) -> DataFrame:
@@ -267,10 +270,10 @@ def _maybe_in(df: DataFrame, key: Column, table: DataFrame) -> DataFrame:
     )
 
 
-def _those(lines: DataFrame, ids: DataFrame, table: DataFrame) -> DataFrame:
+def _those(lines: DataFrame, ids: DataFrame, table: DataFrame, how="left_semi") -> DataFrame:
     """The lines with one of the ids, which the table holds: others are not shuffled."""
     some = _maybe_in(lines, F.xxhash64("id"), table).where("maybe")
-    return some.select(*lines.columns).join(ids, "id", "left_semi")
+    return some.select(*lines.columns).join(ids, "id", how)
 
 
 def _mostly_in_place(short: Column, n: Column, long: Column, edits: int) -> Column:
