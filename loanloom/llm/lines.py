@@ -29,7 +29,7 @@ LEAST_CHARS = 20
 #: Small segments of which all but ``edits`` have to be in place before a pair is verified.
 SMALL = 16
 #: Index entries of a key from which it is refined, and how often at most.  Neither drops a pair.
-CROWDED, DEPTH = 16, 3
+CROWDED, DEPTH = 16, 1
 #: Bits of the table of documents, 64 to a row.
 TABLE_BITS = 1 << 22
 
